@@ -169,41 +169,51 @@ def unique_counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # --------------------------------------------------------------------------- rows that share a key
 
 
-def routed(chunks: Iterator[dict[str, np.ndarray]], key: str, columns: list[str], flush: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def _groups(table: dict[str, np.ndarray], keys: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal keys together, and where in it each key begins."""
+    order = np.lexsort([table[k] for k in reversed(keys)]) if len(keys) > 1 else np.argsort(table[keys[0]], kind="stable")
+    begins = np.zeros(len(order), bool)
+    begins[:1] = True
+    for k in keys:
+        x = table[k][order]
+        begins[1:] |= x[1:] != x[:-1]
+    return order, begins
+
+
+def routed(chunks: Iterator[dict[str, np.ndarray]], keys: tuple[str, ...], flush: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Combine rows by key before a shuffle, so that no key sends more than one row per flush to its task.
 
-    Adds `route` and `shared`: the first row of a key is routed by the key, and says whether more were
+    Adds `route` and `shared`: the first row of a key is routed by keys[0], and says whether more were
     seen here (shared 1) or not (0); those others are known to share their key and are routed by chance (2).
     """
     held: list[dict[str, np.ndarray]] = []
     n = 0
     for chunk in chunks:
         held.append(chunk)
-        n += len(chunk[key])
+        n += len(chunk[keys[0]])
         if n >= flush:
-            yield from _combined(held, key, columns)
+            yield from _combined(held, keys)
             held, n = [], 0
     if n:
-        yield from _combined(held, key, columns)
+        yield from _combined(held, keys)
 
 
-def _combined(held: list[dict[str, np.ndarray]], key: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
-    table = {c: np.concatenate([x[c] for x in held]) for c in columns}
-    order = np.argsort(table[key], kind="stable")
-    keys = table[key][order]
-    first = np.r_[True, keys[1:] != keys[:-1]]
-    more = np.r_[~first[1:], False]
-    shared = np.where(first, more.astype(np.int32), 2).astype(np.int32)
+def _combined(held: list[dict[str, np.ndarray]], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    table = {c: np.concatenate([x[c] for x in held]) for c in held[0]}
+    order, begins = _groups(table, keys)
+    ends = np.r_[begins[1:], True]
+    shared = np.empty(len(order), np.int32)
+    shared[order] = np.where(begins, np.where(ends, 0, 1), 2)
+    route = table[keys[0]].copy()
+    others = np.flatnonzero(shared == 2)
     with np.errstate(over="ignore"):
-        route = np.where(first, keys, signed(mix(keys.view(U64) + np.arange(len(keys), dtype=U64) + U64(1))))
-    back = np.argsort(order, kind="stable")  # in the order of the input, which compresses better
-    out = {"route": route[back], "shared": shared[back], **{c: table[c] for c in columns}}
-    for at in range(0, len(keys), 1 << 16):
-        yield pa.RecordBatch.from_pydict({c: x[at : at + (1 << 16)] for c, x in out.items()})
+        route[others] = signed(mix(route[others].view(U64) + others.astype(U64) + U64(1)))
+    for at in range(0, len(order), 1 << 16):
+        yield pa.RecordBatch.from_pydict({c: x[at : at + (1 << 16)] for c, x in {"route": route, "shared": shared, **table}.items()})
 
 
-def sharing(batches: Iterator[pa.RecordBatch], key: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
-    """From rows of `routed`, sorted by route: those whose key has several rows."""
+def sharing(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """From rows of `routed`, sorted by route: those whose key has several rows. Holds one route's rows at most beside a batch."""
     kept: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -215,19 +225,19 @@ def sharing(batches: Iterator[pa.RecordBatch], key: str, columns: list[str]) ->
         last = int(np.searchsorted(route, route[-1]))
         kept = table.slice(last)
         if last:
-            yield from _shared(table.slice(0, last), key, columns)
+            yield from _shared(table.slice(0, last), keys, columns)
     if kept is not None:
-        yield from _shared(kept, key, columns)
+        yield from _shared(kept, keys, columns)
 
 
-def _shared(table: pa.Table, key: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
-    shared, keys = table.column("shared").to_numpy(), table.column(key).to_numpy()
+def _shared(table: pa.Table, keys: tuple[str, ...], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    shared = table.column("shared").to_numpy()
     firsts = np.flatnonzero(shared != 2)
-    _, inverse, counts = np.unique(keys[firsts], return_inverse=True, return_counts=True)
-    known = np.zeros(len(counts), bool)
-    np.logical_or.at(known, inverse, shared[firsts] == 1)
+    order, begins = _groups({k: table.column(k).to_numpy()[firsts] for k in keys}, keys)
+    group = np.cumsum(begins) - 1
+    several = (np.bincount(group) > 1) | (np.bincount(group, weights=shared[firsts][order] == 1) > 0) if len(firsts) else np.empty(0, bool)
     keep = shared == 2
-    keep[firsts] = (counts > 1)[inverse] | known[inverse]
+    keep[firsts[order]] = several[group]
     if keep.any():
         yield from table.select(columns).filter(pa.array(keep)).combine_chunks().to_batches()
 

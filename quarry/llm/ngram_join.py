@@ -145,8 +145,8 @@ def _prefixes(texts: DataFrame, levels, size: int, percent: int) -> DataFrame:
                 yield {"token": signed(token), "node": node, "size_pos": n << 32 | pos}
 
     columns = ["token", "node", "size_pos"]
-    rows = texts.mapInArrow(lambda b: routed(index(b), "token", columns), "route long, shared int, token long, node long, size_pos long")
-    rows = rows.repartition("route").sortWithinPartitions("route").mapInArrow(lambda b: sharing(b, "token", columns), "token long, node long, size_pos long")
+    rows = texts.mapInArrow(lambda b: routed(index(b), ("token",)), "route long, shared int, token long, node long, size_pos long")
+    rows = rows.repartition("route").sortWithinPartitions("route").mapInArrow(lambda b: sharing(b, ("token",), columns), "token long, node long, size_pos long")
     return rows.select("token", "node", F.shiftright("size_pos", 32).alias("n"), F.col("size_pos").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
 
 
