@@ -54,6 +54,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Lower case, with ASCII signs as spaces: for words without their punctuation.
+PLAIN = LOWER.copy()
+PLAIN[[x for x in range(33, 127) if not chr(x).isalnum()]] = 0x20
 
 _rng = np.random.default_rng(20240229)
 #: A random value for each byte, and an odd base with its inverse modulo 2**64.
@@ -92,9 +95,10 @@ class Words:
     total at the end; hashes: a 64-bit hash of each word.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, table: np.ndarray | None = None):
         self.data, self.offsets = data, offsets
-        folded = LOWER[data] if lower else data
+        table = LOWER if lower else table
+        folded = data if table is None else table[data]
         space = SPACE[folded]
         word = ~space
         begins = word.copy()
@@ -126,6 +130,14 @@ class Words:
             np.cumsum(values * up[: len(values)], out=sums[1:])
             return mix((sums[n:] - sums[:-n]) * down[: len(values) - n + 1] + U64(n))
 
+    def grams_of(self, a: int, b: int, n: int) -> np.ndarray:
+        """grams() of the words from a to b."""
+        if not hasattr(self, "_grams"):
+            self._grams: dict[int, np.ndarray] = {}
+        if n not in self._grams:
+            self._grams[n] = self.grams(n)
+        return self._grams[n][a : max(a, b - n + 1)]
+
 
 def pieces(batch: pa.RecordBatch, column: str = "text", size: int = PIECE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch with their texts' bytes and offsets; a null text is empty."""
@@ -145,10 +157,15 @@ def pieces(batch: pa.RecordBatch, column: str = "text", size: int = PIECE) -> It
         row = to
 
 
-def words_of(batches: Iterator[pa.RecordBatch], lower: bool, column: str = "text") -> Iterator[tuple[pa.RecordBatch, Words]]:
+def words_of(batches: Iterator[pa.RecordBatch], lower: bool = False, column: str = "text", table: np.ndarray | None = None) -> Iterator[tuple[pa.RecordBatch, Words]]:
     for batch in batches:
         for rows, data, offsets in pieces(batch, column):
-            yield rows, Words(data, offsets, lower)
+            yield rows, Words(data, offsets, lower, table)
+
+
+def words_of_texts(texts: list[str | None], **how) -> Words:
+    raw = [(x or "").encode() for x in texts]
+    return Words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), **how)
 
 
 def longs(rows: pa.RecordBatch, name: str) -> np.ndarray:

@@ -16,9 +16,9 @@ Most ids of a text take one byte, as their rank is below 256.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,34 +30,42 @@ from .common import PIECE, shared_dir
 
 END_ID = 2
 BLOCK_IDS = 1 << 21
-CACHE_WORDS = 250_000
+CACHE_WORDS = 700_000
+SIGNS = ".,;:!?"
+FIRST = itemgetter(0)
 BLOCK_SCHEMA = "part int, start long, n_ids long, n_docs long, first_order long, doc_ids binary, doc_null binary, lengths binary, ranks binary, control binary, data binary"
 
 # --------------------------------------------------------------------------- the code
 
-#: For each control byte: the lengths of its four ranks; for each length: the mask of its bytes.
+#: For each control byte: the lengths of its four ranks.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
-MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Unsigned 32-bit values as control and data bytes."""
     values = values.astype(np.uint32)
-    length = (1 + (values > 0xFF) + (values > 0xFFFF) + (values > 0xFFFFFF)).astype(np.uint8)
+    length = np.ones(len(values), np.uint8)
+    for least in (1 << 8, 1 << 16, 1 << 24):
+        if not len(values) or values.max() < least:
+            break
+        length += values >= least
     codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     codes[: len(values)] = length - 1
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
     at = np.cumsum(length, dtype=np.int64) - length
     data = np.empty(int(length.sum(dtype=np.int64)), np.uint8)
-    for k in range(4):
-        has = length > k
-        data[at[has] + k] = (values[has] >> np.uint32(8 * k)) & np.uint32(0xFF)
+    data[at] = values
+    for k in (1, 2, 3):
+        has = np.flatnonzero(length > k)
+        if not len(has):
+            break
+        data[at[has] + k] = values[has] >> np.uint32(8 * k)
     return control.tobytes(), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The n values of pack(): lengths come from a table by control byte, values from masked reads."""
+    """The n values of pack(): lengths come from a table by control byte."""
     length = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
     at = np.cumsum(length, dtype=np.int64) - length
     raw = np.frombuffer(data + b"\0\0\0", np.uint8)
@@ -67,13 +75,16 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
         if not len(has):
             break
         values[has] |= raw[at[has] + k].astype(np.uint32) << np.uint32(8 * k)
-    return values & MASKS[length]
+    return values
 
 
 # --------------------------------------------------------------------------- ids of texts
 
-#: Texts in which a space or a line's end isn't always a border between pre-tokens.
-IRREGULAR = re.compile(r"[^\S \n]|  | \n|\n |\n\n|<\||[\x00\x01]|^\s|\s\Z")
+def regular(text: str) -> bool:
+    """Whether words are parted by one space or one line's end each, so that those are borders of pre-tokens."""
+    return text.count(" ") + text.count("\n") + 1 == len(text.split()) and not ("<|" in text or "\x00" in text or "\x01" in text)
+
+
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -82,7 +93,8 @@ class Encoder:
 
     The pre-tokenizer never joins what stands before and after a single space or line's end, so a
     regular text is the concatenation of its words' ids, each word with the space or line's end
-    before it. Any other text is encoded as it is.
+    before it. Any other text is encoded as it is. A sign right after a letter is a pre-token of
+    its own, so words that end in one are put together from two known parts.
     """
 
     def __init__(self, path: str):
@@ -92,38 +104,44 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.kind = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
         self.cache: dict[str, bytes] = {}
+        self.signs = {x: self.whole(x) for x in SIGNS}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _learn(self, words: list[str]) -> None:
         """words: with their borders in front; those with the same border are encoded in one go."""
+        cache, ended = self.cache, [w for w in words if w[-1] in SIGNS and w[-2].isalpha()]
+        if ended:
+            bare = {w[:-1] for w in ended}
+            words = [*(w for w in words if not (w[-1] in SIGNS and w[-2].isalpha())), *(w for w in bare if w not in cache)]
         for border in (" ", "\n"):
             own = [w for w in words if w[0] == border]
             for at in range(0, len(own), 4096):
                 some = own[at : at + 4096]
                 found = self.tokenizer.encode("".join(some), add_special_tokens=False)
-                ids = np.array(found.ids, np.uint32)
-                begin = np.array([x[0] for x in found.offsets], np.int64)
-                ends = np.cumsum([len(w) for w in some])
-                cut = np.searchsorted(begin, ends).tolist()
+                ids = np.array(found.ids, self.kind).tobytes()
+                begin = np.fromiter(map(FIRST, found.offsets), np.int64, len(found))
+                cut = (np.searchsorted(begin, np.cumsum(np.fromiter(map(len, some), np.int64, len(some)))) * self.kind.itemsize).tolist()
                 last = 0
                 for word, to in zip(some, cut):
-                    self.cache[word] = ids[last:to].tobytes()
+                    cache[word] = ids[last:to]
                     last = to
-        for word in words:
-            if word[0] == "\x01":
-                self.cache[word] = self.whole(word[1:])
+        for word in set(words):
+            if word[0] == "\x01" and word not in cache:
+                cache[word] = self.whole(word[1:])
+        for word in ended:
+            cache[word] = cache[word[:-1]] + self.signs[word[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Little-endian ids of each text, of 16 bits where those suffice, else of 32."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         cache, split = self.cache, []
         for text in texts:
-            if not text or IRREGULAR.search(text):
+            if not text or not regular(text):
                 split.append(None)
             else:
                 split.append(("\x01" + text).replace("\n", "\x00\n").replace(" ", "\x00 ").split("\x00"))
@@ -149,7 +167,8 @@ def encoder(path: str) -> Encoder:
 
 def _blocks(path: str, end_id: int, block_ids: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def block(part: int, start: int, first: int, docs: list, texts: list[bytes]) -> tuple[pa.RecordBatch, int]:
-        ids = np.frombuffer(b"".join(texts), np.uint32)
+        size = encoder(path).kind.itemsize
+        ids = np.frombuffer(b"".join(texts), encoder(path).kind)
         counts = np.bincount(ids)
         order = np.argsort(-counts, kind="stable")
         order = order[: int((counts > 0).sum())].astype(np.uint32)
@@ -159,15 +178,15 @@ def _blocks(path: str, end_id: int, block_ids: int) -> Callable[[Iterator[pa.Rec
         row = {
             "part": part, "start": start, "n_ids": len(ids), "n_docs": len(docs), "first_order": first,
             "doc_ids": np.array([x or 0 for x in docs], "<i8").tobytes(), "doc_null": np.array([x is None for x in docs], np.uint8).tobytes(),
-            "lengths": np.array([len(x) // 4 for x in texts], "<u4").tobytes(), "ranks": order.astype("<u4").tobytes(), "control": control, "data": data,
+            "lengths": np.array([len(x) // size for x in texts], "<u4").tobytes(), "ranks": order.astype("<u4").tobytes(), "control": control, "data": data,
         }
         types = [pa.int32(), *[pa.int64()] * 4, *[pa.binary()] * 6]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types)], names=list(row)), len(ids)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start, docs, texts, held, first = TaskContext.get().partitionId(), 0, [], [], 0, None
-        end = np.array([end_id], np.uint32).tobytes()
         enc = encoder(path)
+        end = np.array([end_id], enc.kind).tobytes()
         for batch in batches:
             ids, orders, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             at = 0
@@ -181,7 +200,7 @@ def _blocks(path: str, end_id: int, block_ids: int) -> Callable[[Iterator[pa.Rec
                         first = orders[at + k]
                     docs.append(ids[at + k])
                     texts.append(found + end)
-                    held += len(texts[-1]) // 4
+                    held += len(texts[-1]) // enc.kind.itemsize
                     if held >= block_ids:
                         row, n = block(part, start, first, docs, texts)
                         yield row
