@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, components, longs, mix, routed, shared_dir, sharing, signed, stored, words_of
+from .common import U64, components, longs, mix, routed, sharing, signed, stored, text_key, words_of
 
 SHINGLE = 5
 PERCENT = 80
@@ -106,21 +106,22 @@ def frequency_levels(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def jaccard_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n, node, parts): the size and name of each document's shingle set, null node if empty."""
+    """(doc_id, key, n, node, parts): the size and name of each document's shingle set, null node if empty."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sets in shingle_sets(batches, size):
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column(0),
+                    rows.column(2),
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([set_name(x) if len(x) else None for x in sets], pa.int64()),
                     pa.array([parts_of(x) for x in sets], pa.list_(pa.int32())),
                 ],
-                names=["doc_id", "n", "node", "parts"],
+                names=["doc_id", "key", "n", "node", "parts"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(describe, "doc_id long, n long, node long, parts array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("key")).mapInArrow(describe, "doc_id long, key long, n long, node long, parts array<int>")
 
 
 def _prefixes(texts: DataFrame, levels, size: int, percent: int) -> DataFrame:
@@ -262,6 +263,15 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, percent
     return components(links.union(more), "a", "b")
 
 
+def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n, node) for each row, and (node, component, least) for each distinct set."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = stored(jaccard_sets(rows, size))
+    nodes = stored(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("parts").alias("parts")))
+    linked = linked_nodes(rows, nodes, size, percent)
+    return sets, nodes.select("node", "least").join(linked, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+
+
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs.
 
@@ -269,11 +279,21 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     set and are linked with nothing; texts of fewer words than a shingle are one shingle. Equal sets
     are linked. component_id is the smallest doc_id of the component, null doc_ids left aside.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = stored(jaccard_sets(docs, size))
-    nodes = stored(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("parts").alias("parts")))
-    linked = linked_nodes(docs, nodes, size, percent)
-    named = nodes.select("node", "least").join(linked, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    sets, named = _classes(docs, size, percent)
     lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(lowest, "component").select("node", "component_id")
     return sets.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns, without near duplicates: of each component the row of the smallest doc_id stays.
+
+    Null doc_ids come last, ties go by the text's hash. Rows without words are all kept; rows that repeat
+    both doc_id and text are one.
+    """
+    sets, named = _classes(docs, size, percent)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
+    first = sets.where("node is not null").groupBy("node").agg(best.alias("best"))
+    first = first.join(named, "node").groupBy("component").agg(F.min("best").alias("best")).select("best.key")
+    kept = first.union(sets.where("node is null").select("key")).select(F.col("key").alias("__key")).distinct()
+    return docs.withColumn("__key", text_key()).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
