@@ -48,6 +48,12 @@ def text_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """doc_id itself where no row lacks it and none repeats it, else text_key(); reads that column only."""
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return text_key() if ids.where("doc_id is null or n > 1").limit(1).count() else F.coalesce(F.col("doc_id"), F.lit(0))  # never null, which spares joins a filter and lets them share an exchange
+
+
 # --------------------------------------------------------------------------- words of many texts
 
 SPACE = np.zeros(256, bool)
@@ -186,51 +192,63 @@ def unique_counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # --------------------------------------------------------------------------- rows that share a key
 
 
-def _groups(table: dict[str, np.ndarray], keys: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """An order that brings equal keys together, and where in it each key begins."""
-    order = np.lexsort([table[k] for k in reversed(keys)]) if len(keys) > 1 else np.argsort(table[keys[0]], kind="stable")
+# A row is (hash, note, owner): longs, a note below 2**60. Two rows are equal by their hashes and by
+# the bits of their notes that `mask` names. On the way the note's two lowest bits say what is known:
+# 0 the key's first row in its task, 1 the first of several there, 2 one of those others.
+
+
+def _order(hashes: np.ndarray, notes: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal rows together, and where in it each key begins."""
+    marks = notes & mask if mask else None
+    order = np.lexsort((marks, hashes)) if mask else np.argsort(hashes, kind="stable")
     begins = np.zeros(len(order), bool)
     begins[:1] = True
-    for k in keys:
-        x = table[k][order]
+    for x in (hashes,) if marks is None else (hashes, marks):
+        x = x[order]
         begins[1:] |= x[1:] != x[:-1]
     return order, begins
 
 
-def routed(chunks: Iterator[dict[str, np.ndarray]], keys: tuple[str, ...], flush: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Combine rows by key before a shuffle, so that no key sends more than one row per flush to its task.
+def routed(chunks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], mask: int = 0, keep_hash: bool = False, flush: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """(route, note, owner[, hash]): rows combined before a shuffle, so that no key sends more than one row a flush to its task.
 
-    Adds `route` and `shared`: the first row of a key is routed by keys[0], and says whether more were
-    seen here (shared 1) or not (0); those others are known to share their key and are routed by chance (2).
+    A key's first row is routed by its hash; the others, known to share their key, are routed by chance
+    and, where asked for, carry their hash.
     """
-    held: list[dict[str, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     n = 0
     for chunk in chunks:
         held.append(chunk)
-        n += len(chunk[keys[0]])
+        n += len(chunk[0])
         if n >= flush:
-            yield from _combined(held, keys)
+            yield from _combined(held, mask, keep_hash)
             held, n = [], 0
     if n:
-        yield from _combined(held, keys)
+        yield from _combined(held, mask, keep_hash)
 
 
-def _combined(held: list[dict[str, np.ndarray]], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    table = {c: np.concatenate([x[c] for x in held]) for c in held[0]}
-    order, begins = _groups(table, keys)
-    ends = np.r_[begins[1:], True]
-    shared = np.empty(len(order), np.int32)
-    shared[order] = np.where(begins, np.where(ends, 0, 1), 2)
-    route = table[keys[0]].copy()
-    others = np.flatnonzero(shared == 2)
+def _combined(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], mask: int, keep_hash: bool) -> Iterator[pa.RecordBatch]:
+    hashes, notes, owners = (np.concatenate(x) for x in zip(*held))
+    order, begins = _order(hashes, notes, mask)
+    known = np.empty(len(order), np.int64)
+    known[order] = np.where(begins, np.where(np.r_[begins[1:], True], 0, 1), 2)
+    others = np.flatnonzero(known == 2)
+    route = hashes.copy()
     with np.errstate(over="ignore"):
         route[others] = signed(mix(route[others].view(U64) + others.astype(U64) + U64(1)))
+    columns = {"route": route, "note": notes << 2 | known, "owner": owners}
     for at in range(0, len(order), 1 << 16):
-        yield pa.RecordBatch.from_pydict({c: x[at : at + (1 << 16)] for c, x in {"route": route, "shared": shared, **table}.items()})
+        some = {c: pa.array(x[at : at + (1 << 16)]) for c, x in columns.items()}
+        if keep_hash:
+            some["hash"] = pa.array(hashes[at : at + (1 << 16)], mask=known[at : at + (1 << 16)] != 2)
+        yield pa.RecordBatch.from_pydict(some)
 
 
-def sharing(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns: list[str]) -> Iterator[pa.RecordBatch]:
-    """From rows of `routed`, sorted by route: those whose key has several rows. Holds one route's rows at most beside a batch."""
+def sharing(batches: Iterator[pa.RecordBatch], mask: int = 0, owners: bool = False) -> Iterator[pa.Table]:
+    """From rows of `routed`, sorted by route: those whose key has several rows, or with `owners` several owners, each then once.
+
+    Holds one route's rows at most beside a batch.
+    """
     kept: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -242,47 +260,54 @@ def sharing(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns: l
         last = int(np.searchsorted(route, route[-1]))
         kept = table.slice(last)
         if last:
-            yield from _shared(table.slice(0, last), keys, columns)
+            yield _shared(table.slice(0, last), mask, owners)
     if kept is not None:
-        yield from _shared(kept, keys, columns)
-
-
-def _shared(table: pa.Table, keys: tuple[str, ...], columns: list[str]) -> Iterator[pa.RecordBatch]:
-    shared = table.column("shared").to_numpy()
-    firsts = np.flatnonzero(shared != 2)
-    order, begins = _groups({k: table.column(k).to_numpy()[firsts] for k in keys}, keys)
+        yield _shared(kept, mask, owners)
+
+
+def _shared(table: pa.Table, mask: int, owners: bool) -> pa.Table:
+    notes = table.column("note").to_numpy()
+    known = notes & 3
+    if owners:  # of first rows that repeat both key and owner, the one that knows of most stays
+        order = np.lexsort((known != 1, table.column("owner").to_numpy(), table.column("route").to_numpy()))
+        route, owner = table.column("route").to_numpy()[order], table.column("owner").to_numpy()[order]
+        again = np.r_[False, (route[1:] == route[:-1]) & (owner[1:] == owner[:-1])] & (known[order] != 2)
+        table = table.take(pa.array(order[~again]))
+        notes = table.column("note").to_numpy()
+        known = notes & 3
+    firsts = np.flatnonzero(known != 2)
+    order, begins = _order(table.column("route").to_numpy()[firsts], notes[firsts] >> 2, mask)
     group = np.cumsum(begins) - 1
-    several = (np.bincount(group) > 1) | (np.bincount(group, weights=shared[firsts][order] == 1) > 0) if len(firsts) else np.empty(0, bool)
-    keep = shared == 2
+    several = (np.bincount(group) > 1) | (np.bincount(group, weights=known[firsts][order] == 1) > 0) if len(firsts) else np.empty(0, bool)
+    keep = known == 2
     keep[firsts[order]] = several[group]
-    if keep.any():
-        yield from table.select(columns).filter(pa.array(keep)).combine_chunks().to_batches()
+    return table.set_column(table.schema.get_field_index("note"), "note", pa.array(notes >> 2)).filter(pa.array(keep))
 
 
 # --------------------------------------------------------------------------- connected components
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component): the smallest node reachable over undirected edges; only nodes with edges.
+    """(node, component): a member of each component of undirected edges; only nodes with edges.
 
-    Labels move to the smallest neighbour and then jump to that one's own label, so rounds grow with
-    the logarithm of a component's diameter. Each round is a reliable checkpoint.
+    In each round a node goes over to its smallest neighbour, and edges between the nodes that are left
+    make the next round's smaller graph; a star, as copies of one text make it, is gone after one round.
+    Long paths need few rounds if names are in no order along them, as hashes are. Each round is a
+    reliable checkpoint.
     """
-    spark = edges.sparkSession
-    shared_dir(spark)
-    links = (
-        edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-        .where("u is not null and v is not null and u <> v")
-        .select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e"))
-        .select("e.u", "e.v").distinct().checkpoint()
-    )
-    labels = links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).checkpoint()
+    shared_dir(edges.sparkSession)
+    left = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct().checkpoint()
+    rounds: list[DataFrame] = []
     while True:
-        near = links.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        moved = labels.join(near, "u").select("u", F.least("label", "near").alias("to"), F.col("label").alias("was"))
-        target = labels.select(F.col("u").alias("to"), F.col("label").alias("jump"))
-        moved = moved.join(target, "to", "left").select("u", F.least("to", F.coalesce("jump", "to")).alias("label"), "was").checkpoint()
-        changed = moved.where("label <> was").limit(1).count()
-        labels = moved.select("u", "label")
-        if not changed:
-            return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
+        both = left.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+        to = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("to")).checkpoint()
+        rounds.append(to)
+        left = left.join(to, "u").select(F.col("to").alias("x"), "v").join(to.withColumnRenamed("u", "v"), "v").select(F.least("x", "to").alias("u"), F.greatest("x", "to").alias("v"))
+        left = left.where("u < v").distinct().checkpoint()
+        if left.isEmpty():
+            break
+    found = rounds.pop()
+    for to in reversed(rounds):
+        later = found.select(F.col("u").alias("to"), F.col("to").alias("last"))
+        found = to.join(later, "to", "left").select("u", F.coalesce("last", "to").alias("to"))
+    return found.select(F.col("u").alias("node"), F.col("to").alias("component"))

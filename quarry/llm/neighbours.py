@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-DEGREE = 24
+DEGREE = 26
 ROUNDS = 8
 PIVOTS = 256
 BLOCK = 48
-BEAM = 160
-OPEN = 40
+BEAM = 400
+OPEN = 100
 NEAREST = 10
 
 

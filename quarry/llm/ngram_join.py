@@ -8,22 +8,24 @@ Steps, all of them Spark jobs:
 3. A set of n shingles puts its first n - ceil(t n) + 1 into an index; two sets at or above t share
    one of them. Shingles that only one set puts there are dropped (before the shuffle, rows of one
    shingle are combined within a task, so that a common one sends no more than one row per task).
-4. Round one verifies each node against a few leaders of its shingles and length bands, and finds
-   connected components. Round two takes all pairs that share an indexed shingle and aren't in one
-   component yet, after the length, positional and suffix filters. No link between two components
-   is lost, and no group is expanded into all its pairs.
+4. Round one verifies each node against the leaders, by shingle and length band, with which it shares
+   most, and finds connected components. Round two does so for the pairs of any two components that
+   share most. Round three takes all other pairs that share an indexed shingle and still aren't in one
+   component, after the length, positional and suffix filters. No link between two components is
+   lost, and no group is expanded into all its pairs.
 
 Verification compares whole sets, once for each pair.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, components, longs, mix, routed, sharing, signed, stored, text_key, words_of
@@ -31,9 +33,9 @@ from .common import U64, components, longs, mix, routed, sharing, signed, stored
 SHINGLE = 5
 PERCENT = 80
 #: Counters of the order's sketch and of the set filter; both are of fixed size.
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 FILTER_BITS = 23
-PARTS = 16
+#: Leaders that a node is verified against in round one, those of the most common shingles first.
 LEADERS = 2
 
 
@@ -61,8 +63,20 @@ def set_name(x: np.ndarray) -> int:
 
 
 def parts_of(x: np.ndarray) -> np.ndarray:
-    """How many members fall into each of PARTS ranges of the hash: what the suffix filter compares."""
-    return np.bincount((x >> U64(64 - 4)).astype(np.int64), minlength=PARTS).astype(np.int32)
+    """How many members, up to 255, fall into each range of the hash; what the suffix filter compares.
+
+    There are a power of two of ranges, about one for 8 members, so that ranges of a short set are
+    unions of those of a long one.
+    """
+    bits = max(4, min(16, int(len(x) // 8).bit_length()))
+    return np.minimum(np.bincount((x >> U64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """The least size of the symmetric difference of two sets, by their parts; counts of 255 say nothing more."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    full = (a == 255) | (b.reshape(len(a), -1) == 255).any(axis=1)
+    return int(np.abs(a.astype(np.int64) - b.reshape(len(a), -1).sum(axis=1, dtype=np.int64))[~full].sum())
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -86,19 +100,19 @@ def frequency_levels(docs: DataFrame, size: int) -> np.ndarray:
         for _, sets in shingle_sets(batches, size):
             total += np.bincount((np.concatenate(sets) & U64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=len(total))
         if total.any():
-            yield pa.RecordBatch.from_pydict({"slice": np.arange(slices), "counts": [x.astype("<i8" if x.max() >= 1 << 31 else "<i4").tobytes() for x in total.reshape(slices, width)]})
+            yield pa.RecordBatch.from_pydict({"slice": np.arange(slices), "counts": [zlib.compress(x.tobytes(), 1) for x in total.reshape(slices, width)]})
 
     def add(rows):
         total = np.zeros(width, np.int64)
         for x in rows.column("counts").to_pylist():
-            total += np.frombuffer(x, "<i8" if len(x) == 8 * width else "<i4")
-        return pa.table({"slice": rows.column("slice")[:1], "counts": [total.astype("<i8").tobytes()]})
+            total += np.frombuffer(zlib.decompress(x), np.int64)
+        return pa.table({"slice": rows.column("slice")[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     schema = "slice long, counts binary"
     rows = docs.mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).collect()
     total = np.zeros((slices, width), np.int64)
     for row in rows:
-        total[row["slice"]] = np.frombuffer(row["counts"], "<i8")
+        total[row["slice"]] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
     return np.floor(8 * np.log2(total.reshape(-1) + 1)).astype(np.uint8)
 
 
@@ -116,18 +130,18 @@ def jaccard_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                     rows.column(2),
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([set_name(x) if len(x) else None for x in sets], pa.int64()),
-                    pa.array([parts_of(x) for x in sets], pa.list_(pa.int32())),
+                    pa.array([parts_of(x).tobytes() for x in sets], pa.binary()),
                 ],
                 names=["doc_id", "key", "n", "node", "parts"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("key")).mapInArrow(describe, "doc_id long, key long, n long, node long, parts array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("key")).mapInArrow(describe, "doc_id long, key long, n long, node long, parts binary")
 
 
 def _prefixes(texts: DataFrame, levels, size: int, percent: int) -> DataFrame:
     """(token, node, n, pos): indexed shingles that two nodes at least have in their prefixes."""
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         level, seen = levels.value, set()
         for _, sets in shingle_sets(batches, size):
             out = []
@@ -143,12 +157,13 @@ def _prefixes(texts: DataFrame, levels, size: int, percent: int) -> DataFrame:
                 out.append((key, np.full(k, name, np.int64), np.full(k, len(x), np.int64), np.arange(k)))
             if out:
                 token, node, n, pos = (np.concatenate(c) for c in zip(*out))
-                yield {"token": signed(token), "node": node, "size_pos": n << 32 | pos}
+                yield signed(token), n << 28 | pos, node
 
-    columns = ["token", "node", "size_pos"]
-    rows = texts.mapInArrow(lambda b: routed(index(b), ("token",)), "route long, shared int, token long, node long, size_pos long")
-    rows = rows.repartition("route").sortWithinPartitions("route").mapInArrow(lambda b: sharing(b, ("token",), columns), "token long, node long, size_pos long")
-    return rows.select("token", "node", F.shiftright("size_pos", 32).alias("n"), F.col("size_pos").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
+    schema = "route long, note long, owner long, hash long"
+    rows = texts.mapInArrow(lambda b: routed(index(b), keep_hash=True), schema).repartition("route").sortWithinPartitions("route")
+    rows = rows.mapInArrow(lambda b: (x for t in sharing(b, owners=True) for x in t.combine_chunks().to_batches()), schema)
+    n, pos = F.shiftright("note", 28), F.col("note").bitwiseAND(F.lit((1 << 28) - 1))
+    return rows.select(F.coalesce("hash", "route").alias("token"), F.col("owner").alias("node"), n.alias("n"), pos.alias("pos"))
 
 
 def _needed(percent: int, na: str, nb: str) -> str:
@@ -160,8 +175,15 @@ def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The suffix filter: pairs whose sets can still overlap enough by their counts in ranges of the hash."""
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
-    apart = "aggregate(zip_with(pa, pb, (x, y) -> abs(x - y)), 0L, (s, x) -> s + x)"
-    return pairs.join(a, "a").join(b, "b").where(f"{apart} <= na + nb - 2 * {_needed(percent, 'na', 'nb')}").select("a", "b")
+    both = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    both = both.select("a", "b", (F.col("na") + F.col("nb") - 2 * F.expr(_needed(percent, "na", "nb"))).alias("most"), "pa", "pb")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [apart(x, y) <= most for x, y, most in zip(*(batch.column(c).to_pylist() for c in ("pa", "pb", "most")))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(near, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -239,28 +261,51 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, percent
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(frequency_levels(texts, size))
-    index = stored(_prefixes(texts, levels, size, percent).distinct())
+    index = stored(_prefixes(texts, levels, size, percent))
 
     band = F.floor(F.log("n") / -log(percent / 100)).alias("band")
-    ranked = index.select("token", "node", band, F.xxhash64("node", F.pmod("token", F.lit(LEADERS))).alias("rank"))
-    leaders = ranked.groupBy("token", "band").agg(F.min(F.struct("rank", "node"))["node"].alias("leader"), F.max(F.struct("rank", "node"))["node"].alias("other"))
-    leaders = leaders.where("leader <> other").select("token", "band", "leader")
-    near = ranked.join(leaders, ["token", "band"]).where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    ranked = index.select("token", "node", band)
+    leaders = ranked.groupBy("token", "band").agg(F.min("node").alias("leader"))
+    near = ranked.join(leaders, ["token", "band"]).where("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("common"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("common"), "leader"))  # a node has no more leaders than indexed shingles
+    near = near.withColumn("rank", rank).where(F.col("rank") <= LEADERS).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     first = stored(_close(near, nodes, percent))
     links = stored(_verified(first, texts, size, percent))
     found = stored(components(links, "a", "b"))
 
+    merged = _best_pairs(index, found, first, percent)
+    second = stored(_close(merged, nodes, percent))
+    links = links.union(stored(_verified(second, texts, size, percent)))
+    found = stored(components(links, "a", "b"))
+
+    left = _met(index, found, percent).select("a", "b").join(first.union(second), ["a", "b"], "left_anti")
+    third = stored(_close(left, nodes, percent))
+    return components(links.union(_verified(third, texts, size, percent)), "a", "b")
+
+
+def _met(index: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ca, cb, common): pairs of different components that share an indexed shingle and pass the filters.
+
+    The first shingle that two sets at the threshold share lies in both prefixes that their own two sizes
+    ask for. All they share beyond those counted comes after the last one counted.
+    """
     member = index.join(found, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
     mixed = member.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    member = stored(member.join(mixed, "token", "left_semi"))
+    member = stored(member.join(mixed, "token", "left_semi").dropDuplicates(["token", "node"]))
     x, y = (member.select("token", *[F.col(c).alias(c + s) for c in ("node", "n", "pos", "component")]) for s in "xy")
-    rest = f"least(posx, posy) + 1 + least(nx - posx - 1, ny - posy - 1) >= {_needed(percent, 'nx', 'ny')}"
-    met = x.join(y, "token").where(f"nodex < nodey and componentx <> componenty and 100 * least(nx, ny) >= {percent} * greatest(nx, ny) and {rest}")
-    met = met.groupBy(F.col("nodex").alias("a"), F.col("nodey").alias("b")).agg(F.count(F.lit(1)).alias("common"), F.max("posx").alias("px"), F.max("posy").alias("py"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
-    met = met.where(f"common + least(nx - px - 1, ny - py - 1) >= {_needed(percent, 'nx', 'ny')}").select("a", "b").join(first, ["a", "b"], "left_anti")
-    second = stored(_close(met, nodes, percent))
-    more = _verified(second, texts, size, percent)
-    return components(links.union(more), "a", "b")
+    need = _needed(percent, "nx", "ny")
+    met = x.join(y, "token").where(f"nodex < nodey and componentx <> componenty and 100 * least(nx, ny) >= {percent} * greatest(nx, ny) and posx <= nx - {need} and posy <= ny - {need}")
+    met = met.groupBy(F.col("nodex").alias("a"), F.col("nodey").alias("b")).agg(
+        F.count(F.lit(1)).alias("common"), F.max("posx").alias("px"), F.max("posy").alias("py"), *[F.first(c).alias(c) for c in ("nx", "ny", "componentx", "componenty")]
+    )
+    return met.where(f"common + least(nx - px - 1, ny - py - 1) >= {need}").select("a", "b", F.col("componentx").alias("ca"), F.col("componenty").alias("cb"), "common")
+
+
+def _best_pairs(index: DataFrame, found: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of each two components the pairs that share most; one link makes the others needless."""
+    met = _met(index, found, percent).join(done, ["a", "b"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("common"), "a", "b"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= LEADERS).select("a", "b")
 
 
 def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:

@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import longs, routed, sharing, signed, text_key, words_of
+from .common import longs, routed, row_key, sharing, signed, words_of
 
 WINDOW = 35
 #: A perfect difference set: every difference modulo 21 is one of two of its members.
 PERIOD = 21
 COVER = (0, 1, 4, 14, 16)
+#: Bits of a window's second hash.
+CHECK = 0xFFFF
 
 
 def _anchors(window: int):
@@ -34,15 +36,15 @@ def _anchors(window: int):
     covered = np.zeros(PERIOD, bool)
     covered[list(COVER)] = True
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-        for batch, words in words_of(batches, lower=False):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for batch, words in words_of(batches):
             count = np.diff(words.first)
             keys = longs(batch, "key")
             doc = np.repeat(np.arange(len(count)), count)
             pos = np.arange(len(words.hashes)) - words.first[doc]
             keep = np.flatnonzero(covered[pos % PERIOD] & (pos + width <= count[doc]) & (count[doc] >= window))
             if len(keep):
-                yield {"hash": signed(words.grams(width)[keep]), "key": keys[doc[keep]], "pos": pos[keep].astype(np.int32)}
+                yield signed(words.grams(width)[keep]), pos[keep], keys[doc[keep]]
 
     return rows
 
@@ -51,14 +53,12 @@ def _windows(window: int):
     """Hashes of the whole windows around shared anchors."""
     width = window - PERIOD + 1
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-        for batch, words in words_of(batches, lower=False):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for batch, words in words_of(batches):
             if len(words.hashes) < window:
                 continue
             count = np.diff(words.first)
-            at = batch.column(batch.schema.get_field_index("at"))
-            owner = np.repeat(np.arange(batch.num_rows), at.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            anchor = at.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            owner, anchor = _positions(batch)
             start = np.zeros(len(words.hashes) + 1, np.int32)  # +1 where a run of window starts begins, -1 after its end
             low = words.first[owner] + np.maximum(anchor - (window - width), 0)
             high = words.first[owner] + np.minimum(anchor, count[owner] - window)
@@ -67,29 +67,39 @@ def _windows(window: int):
             keep = np.flatnonzero(np.cumsum(start)[:-1] > 0)
             if len(keep):
                 doc = np.searchsorted(words.first, keep, side="right") - 1
-                check = (words.grams(window, seed=0x2545F4914F6CDD1D)[keep] & np.uint64(0x7FFFFFFF)).astype(np.int32)
-                yield {"hash": signed(words.grams(window)[keep]), "check": check, "key": longs(batch, "key")[doc], "pos": (keep - words.first[doc]).astype(np.int32)}
+                check = (words.grams(window, seed=0x2545F4914F6CDD1D)[keep] & np.uint64(CHECK)).astype(np.int64)
+                yield signed(words.grams(window)[keep]), (keep - words.first[doc]) << 16 | check, longs(batch, "key")[doc]
 
     return rows
 
 
-def _shared(rows: DataFrame, make, columns: dict[str, str], keys: tuple[str, ...]) -> DataFrame:
-    """(key, at): positions whose hashes also stand elsewhere, gathered per text."""
-    schema = ", ".join(f"{c} {t}" for c, t in columns.items())
-    found = rows.mapInArrow(lambda b: routed(make(b), keys), f"route long, shared int, {schema}")
-    found = found.repartition("route").sortWithinPartitions("route")
-    found = found.mapInArrow(lambda b: sharing(b, keys, ["key", "pos"]), "key long, pos int")
+def _shared(rows: DataFrame, make, shift: int = 0, mask: int = 0) -> DataFrame:
+    """(key, at): positions whose hashes also stand elsewhere, for each text."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sharing(batches, mask):
+            pos = (table.column("note").to_numpy() >> shift).astype(np.int32)
+            yield from pa.table({"key": table.column("owner"), "pos": pos}).combine_chunks().to_batches()
+
+    found = rows.mapInArrow(lambda b: routed(make(b), mask), "route long, note long, owner long")
+    found = found.repartition("route").sortWithinPartitions("route").mapInArrow(places, "key long, pos int")
     return found.groupBy("key").agg(F.collect_list("pos").alias("at"))
 
 
+def _positions(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the position of all that column `at` lists; a null lists none."""
+    at = batch.column(batch.schema.get_field_index("at"))
+    row = np.repeat(np.arange(batch.num_rows), at.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return row, at.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _kept(window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, words in words_of(batches, lower=False):
+        for batch, words in words_of(batches):
             count = np.diff(words.first)
-            at = batch.column(batch.schema.get_field_index("at"))
-            lengths = at.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(batch.num_rows), lengths)
-            start = words.first[owner] + at.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            owner, at = _positions(batch)
+            lengths = np.bincount(owner, minlength=batch.num_rows)
+            start = words.first[owner] + at
             change = np.zeros(len(words.hashes) + 1, np.int32)
             np.add.at(change, start, 1)
             np.add.at(change, start + window, -1)
@@ -123,10 +133,11 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     starts anywhere else, in the same text too; all occurrences go, the first one included. kept: the
     other words, joined by one space. Rows that repeat a doc_id are documents of their own.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", text_key())
-    anchors = _shared(docs.select("key", "text"), _anchors(window), {"hash": "long", "key": "long", "pos": "int"}, ("hash",))
-    texts = docs.repartition("key")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("key", row_key(docs))
+    anchors = _shared(docs.select("key", "text"), _anchors(window))
+    texts = docs.select("doc_id", "key", "text").repartition("key")
     near = texts.join(anchors, "key").select("doc_id", "key", "text", "at")
-    repeats = _shared(near, _windows(window), {"hash": "long", "check": "int", "key": "long", "pos": "int"}, ("hash", "check"))
+    repeats = _shared(near, _windows(window), shift=16, mask=CHECK)
     rows = texts.join(repeats, "key", "left").select("doc_id", "key", "text", "at")
     return rows.mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
