@@ -9,10 +9,9 @@ Steps, all of them Spark jobs:
    one of them. Shingles that only one set puts there are dropped (before the shuffle, rows of one
    shingle are combined within a task, so that a common one sends no more than one row per task).
 4. Round one verifies each node against the leaders, by shingle and length band, with which it shares
-   most, and finds connected components. Round two does so for the pairs of any two components that
-   share most. Round three takes all other pairs that share an indexed shingle and still aren't in one
-   component, after the length, positional and suffix filters. No link between two components is
-   lost, and no group is expanded into all its pairs.
+   most, and finds connected components. Round two takes all other pairs that share an indexed shingle
+   and aren't in one component yet, after the length, pair-prefix, positional and suffix filters. No
+   link between two components is lost, and no group is expanded into all its pairs.
 
 Verification compares whole sets, once for each pair.
 """
@@ -36,7 +35,7 @@ PERCENT = 80
 SKETCH_BITS = 20
 FILTER_BITS = 23
 #: Leaders that a node is verified against in round one, those of the most common shingles first.
-LEADERS = 2
+LEADERS = 5
 
 
 def shingle_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -273,18 +272,13 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, percent
     links = stored(_verified(first, texts, size, percent))
     found = stored(components(links, "a", "b"))
 
-    merged = _best_pairs(index, found, first, percent)
-    second = stored(_close(merged, nodes, percent))
-    links = links.union(stored(_verified(second, texts, size, percent)))
-    found = stored(components(links, "a", "b"))
-
-    left = _met(index, found, percent).select("a", "b").join(first.union(second), ["a", "b"], "left_anti")
-    third = stored(_close(left, nodes, percent))
-    return components(links.union(_verified(third, texts, size, percent)), "a", "b")
+    left = _met(index, found, percent).join(first, ["a", "b"], "left_anti")
+    second = stored(_close(left, nodes, percent))
+    return components(links.union(_verified(second, texts, size, percent)), "a", "b")
 
 
 def _met(index: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """(a, b, ca, cb, common): pairs of different components that share an indexed shingle and pass the filters.
+    """(a, b): pairs of different components that share an indexed shingle and pass the filters.
 
     The first shingle that two sets at the threshold share lies in both prefixes that their own two sizes
     ask for. All they share beyond those counted comes after the last one counted.
@@ -296,16 +290,9 @@ def _met(index: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     need = _needed(percent, "nx", "ny")
     met = x.join(y, "token").where(f"nodex < nodey and componentx <> componenty and 100 * least(nx, ny) >= {percent} * greatest(nx, ny) and posx <= nx - {need} and posy <= ny - {need}")
     met = met.groupBy(F.col("nodex").alias("a"), F.col("nodey").alias("b")).agg(
-        F.count(F.lit(1)).alias("common"), F.max("posx").alias("px"), F.max("posy").alias("py"), *[F.first(c).alias(c) for c in ("nx", "ny", "componentx", "componenty")]
+        F.count(F.lit(1)).alias("common"), F.max("posx").alias("px"), F.max("posy").alias("py"), F.first("nx").alias("nx"), F.first("ny").alias("ny")
     )
-    return met.where(f"common + least(nx - px - 1, ny - py - 1) >= {need}").select("a", "b", F.col("componentx").alias("ca"), F.col("componenty").alias("cb"), "common")
-
-
-def _best_pairs(index: DataFrame, found: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """(a, b): of each two components the pairs that share most; one link makes the others needless."""
-    met = _met(index, found, percent).join(done, ["a", "b"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("common"), "a", "b"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= LEADERS).select("a", "b")
+    return met.where(f"common + least(nx - px - 1, ny - py - 1) >= {need}").select("a", "b")
 
 
 def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
