@@ -5,29 +5,37 @@ w may run from slot floor(k / w) on and must have run by slot ceil((k + 1) / w);
 released block of the earliest deadline. All deadlines are met, so after t slots a source has had its
 weight's share of t, within less than one block.
 
-Weights are rounded to whole numbers of slots out of PERIOD; then the schedule repeats after PERIOD
-slots, with every deviation back at nought. So it's computed once, for PERIOD slots, and block k of a
-source lies in period k div a at that period's place k mod a: no pass over blocks in a row.
+Weights are exact fractions, for any number of slots and of sources: nothing is rounded, so nothing adds
+up. One task goes through the blocks in a row, knows one block of each source at a time and passes on
+one row for each block; documents are placed by a join with their blocks.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 PERIOD = 4096
 BLOCK_BYTES = 1 << 16
 #: Documents that one window task sums up, about.
 BUCKET_DOCS = 1024
-#: Sources of a weight of their own; by default the largest, the others share one.
-MOST_SOURCES = 1000
 OTHER = "\x00other"
+#: Slots of vanishing weights end here, as longs do.
+LAST_SLOT = (1 << 63) - 1
+PLAN = "source string, block long, place long, slot long, release long, deadline long, on_target boolean"
 
 
 def slots_of(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole slots of a period for each source, one at least, by largest remainders."""
+    """Whole slots of a period for each source, one at least, by largest remainders: for a plan that repeats."""
     weights = {s: float(w) for s, w in weights.items() if w > 0}
     if len(weights) > period:
         raise ValueError(f"more than {period} sources with a weight")
@@ -42,29 +50,75 @@ def slots_of(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return slots
 
 
-def schedule(slots: dict[str, int], period: int = PERIOD) -> list[tuple[str, int, int, int, int]]:
-    """(source, block of the period, slot, release, deadline): earliest deadline first over one period."""
-    jobs = sorted((k * period // a, -(-(k + 1) * period // a), s, k) for s, a in slots.items() for k in range(a))
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportions of the weights above 0."""
+    exact = {s: Fraction(w) for s, w in weights.items() if w > 0}
+    by = lcm(*[x.denominator for x in exact.values()])
+    return {s: int(x * by) for s, x in exact.items()}
+
+
+def earliest_deadline_first(parts: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, slot, release, deadline) of each source's blocks, by slot; a source's weight is its part of all parts.
+
+    A slot in which no block is released, as sources that have run out leave some, stays empty.
+    """
+    total = sum(parts.values())
+    waiting = [(0, s, 0) for s in parts if blocks.get(s, 0) > 0]
+    heapq.heapify(waiting)
     ready: list[tuple[int, str, int, int]] = []
-    out, at = [], 0
-    for t in range(period if slots else 0):
-        while at < len(jobs) and jobs[at][0] <= t:
-            release, deadline, s, k = jobs[at]
-            heapq.heappush(ready, (deadline, s, k, release))
-            at += 1
+    t = 0
+    while waiting or ready:
+        if not ready and waiting[0][0] > t:
+            t = waiting[0][0]
+        while waiting and waiting[0][0] <= t:
+            release, s, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * total // parts[s]), s, k, release))
         deadline, s, k, release = heapq.heappop(ready)
         if t >= deadline:
             raise AssertionError("a deadline was missed")
-        out.append((s, k, t, release, deadline))
-    return out
+        yield s, k, t, release, deadline
+        if k + 1 < blocks[s]:
+            heapq.heappush(waiting, ((k + 1) * total // parts[s], s, k + 1))
+        t += 1
 
 
-def tempered_weights(docs: DataFrame, power: float = 0.7, most: int = MOST_SOURCES) -> dict[str, float]:
-    """Weights by each source's bytes to a power below one, which lifts small sources; those beyond the largest share OTHER's."""
-    sizes = docs.groupBy(_source().alias("s")).agg(F.sum(_size()).alias("n"))
-    top = {r["s"]: r["n"] for r in sizes.orderBy(F.desc("n"), "s").limit(most).collect()}
-    rest = (sizes.agg(F.sum("n").alias("n")).first()["n"] or 0) - sum(top.values())
-    return {s: float(n) ** power for s, n in top.items()} | ({OTHER: float(rest) ** power} if rest > 0 else {})
+def schedule(slots: dict[str, int], period: int = PERIOD) -> list[tuple[str, int, int, int, int]]:
+    """(source, block of the period, slot, release, deadline) over one period."""
+    return list(islice(earliest_deadline_first(slots, slots), period))
+
+
+def _plan(block_bytes: int):
+    """From (source, bytes, weight) of all sources, in one task, the rows of PLAN; sources without a weight come last."""
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sources = [r for batch in batches for r in batch.to_pylist()]
+        blocks = {r["source"]: -(-r["bytes"] // block_bytes) for r in sources if r["bytes"]}
+        parts = whole({r["source"]: r["weight"] or 0.0 for r in sources})
+        total = sum(parts.values())
+        horizon = min((blocks[s] * total // parts[s] for s in parts if s in blocks), default=0)
+
+        def rows() -> Iterator[tuple]:
+            place = end = 0
+            for s, k, t, release, deadline in earliest_deadline_first(parts, blocks):
+                yield s, k, place, min(t, LAST_SLOT), min(release, LAST_SLOT), min(deadline, LAST_SLOT), t < horizon
+                place, end = place + 1, t + 1
+            for s in sorted(set(blocks) - set(parts)):
+                for k in range(blocks[s]):
+                    yield s, k, place, min(end, LAST_SLOT), None, None, False
+                    place, end = place + 1, end + 1
+
+        types = [pa.string(), *[pa.int64()] * 5, pa.bool_()]
+        names = [x.split()[0] for x in PLAN.split(", ")]
+        out: list[tuple] = []
+        for row in rows():
+            out.append(row)
+            if len(out) == 1 << 14:
+                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out), types)], names=names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out), types)], names=names)
+
+    return plan
 
 
 def _source() -> Column:
@@ -75,50 +129,50 @@ def _size() -> Column:
     return (F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 1).cast("long")
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, block_bytes: int = BLOCK_BYTES, period: int = PERIOD) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with a struct column `mix`: source, block, release, deadline, slot, order, on_target.
 
     docs: doc_id, text and source; other columns are kept. Every row stays. A null source is "", a null
-    text has size 1 like an empty one. Sources without a weight share OTHER's, or, if that has none
-    either, come after all others. `order` is a distinct long for each row (but for full repeats, which
-    share neither) that puts documents in mixed order; on_target tells the part in which every source
-    still has blocks, where the deviation is below one block.
+    text has size 1 like an empty one. Without weights, each source's is its bytes to a power below one,
+    which lifts small sources. Sources without a weight share OTHER's, or, if that has none either, come
+    after all others. `order` is a distinct long for each row (but for full repeats, which share neither)
+    that puts documents in mixed order; on_target tells the part in which every source still has blocks,
+    where the deviation from the weights is below one block.
     """
     spark = docs.sparkSession
-    if weights is None:
-        weights = tempered_weights(docs, power)
-    slots = slots_of(weights, period)
     named = _source()
-    own = F.when(named.isin(*[s for s in slots if s != OTHER]), named).otherwise(F.lit(OTHER)) if slots else F.lit(OTHER)
+    if weights is None:
+        own, given = named, None
+    else:
+        weights = {s: float(w) for s, w in weights.items() if w > 0}
+        given = spark.createDataFrame(list(weights.items()), "_named string, weight double")
+        own = F.when(named.isin(*[s for s in weights if s != OTHER]), named).otherwise(F.lit(OTHER))
     rows = docs.withColumn("mix", F.struct(own.alias("source"), _size().alias("size"), F.xxhash64("doc_id", "text").alias("hash")))
-    counts = rows.groupBy("mix.source").agg(F.count(F.lit(1)).alias("n"))  # as many rows as weights, at most
-    buckets = {r["source"]: -(-r["n"] // BUCKET_DOCS) for r in counts.collect()}
-    many = F.coalesce(*[F.when(F.col("mix.source") == s, F.lit(b)) for s, b in buckets.items()], F.lit(1)) if buckets else F.lit(1)
-    rows = rows.withColumn("mix", F.struct("mix.*", F.pmod(F.shiftright("mix.hash", 20), many).alias("bucket")))
+    sizes = stored(rows.groupBy("mix.source").agg(F.count(F.lit(1)).alias("n"), F.sum("mix.size").alias("bytes")))
+    rows = rows.join(sizes.select(F.col("source").alias("_named"), F.ceil(F.col("n") / BUCKET_DOCS).alias("_many")), F.col("mix.source") == F.col("_named")).drop("_named")
+    rows = rows.withColumn("mix", F.struct("mix.*", F.pmod(F.shiftright("mix.hash", 20), F.col("_many")).alias("bucket"))).drop("_many")
 
     totals = rows.groupBy("mix.source", "mix.bucket").agg(F.sum("mix.size").alias("bytes"))
     sums = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), F.coalesce(F.sum("bytes").over(sums), F.lit(0)).alias("_before"), F.col("bytes").alias("_bytes"))
-    last = {r["_s"]: -(-r["n"] // block_bytes) for r in totals.groupBy("_s").agg(F.max(F.col("_before") + F.col("_bytes")).alias("n")).collect()}
-    table = schedule(slots, period)
-    place = {(s, k): t for s, k, t, _, _ in table}
-    horizon = min((last[s] // slots[s] * period + place[s, last[s] % slots[s]] for s in slots if s in last), default=0)
-    end = max((last[s] // slots[s] + 1 for s in slots if s in last), default=0) * period
-    plan = spark.createDataFrame(table or [("", 0, 0, 0, 0)], "_s string, _k long, _t long, _r long, _d long")
+    totals = totals.select("source", "bucket", F.coalesce(F.sum("bytes").over(sums), F.lit(0)).alias("before"), "bytes")
+    if given is None:
+        shares = sizes.select("source", "bytes", F.pow(F.col("bytes").cast("double"), F.lit(float(power))).alias("weight"))
+    else:
+        shares = sizes.join(given, F.col("source") == F.col("_named"), "full").select(F.coalesce("source", "_named").alias("source"), "bytes", "weight")
+    plan = shares.repartition(1).mapInArrow(_plan(block_bytes), PLAN)
+    first, last = F.floor(F.col("before") / block_bytes), F.floor((F.col("before") + F.col("bytes") - 1) / block_bytes)
+    blocks = totals.select("source", "bucket", "before", F.explode(F.sequence(first, last)).alias("block")).join(plan, ["source", "block"])
+    of_bucket = F.sort_array(F.collect_list(F.struct("block", "place", "slot", "release", "deadline", "on_target")))
+    placed = blocks.groupBy("source", "bucket").agg(F.first("before").alias("_before"), of_bucket.alias("_plan")).withColumnsRenamed({"source": "_s", "bucket": "_b"})
 
     local = Window.partitionBy("mix.source", "mix.bucket").orderBy("mix.hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_local", F.coalesce(F.sum("mix.size").over(local), F.lit(0)))
-    rows = rows.join(totals, (F.col("mix.source") == F.col("_s")) & (F.col("mix.bucket") == F.col("_b")), "left").drop("_s")
-    at = F.col("_before") + F.col("_local")
-    rows = rows.withColumn("_at", at).withColumn("_block", F.floor(at / block_bytes).cast("long"))
-    a = F.coalesce(*[F.when(F.col("mix.source") == s, F.lit(n)) for s, n in slots.items()], F.lit(1)).cast("long") if slots else F.lit(1).cast("long")
-    rows = rows.withColumn("_a", a)
-    rows = rows.join(F.broadcast(plan), (F.col("mix.source") == F.col("_s")) & (F.col("_block") % F.col("_a") == F.col("_k")), "left")
-    turn = F.floor(F.col("_block") / F.col("_a")).cast("long") * period
-    slot = F.coalesce(turn + F.col("_t"), F.lit(end) + F.col("_block"))
+    rows = rows.join(placed, (F.col("mix.source") == F.col("_s")) & (F.col("mix.bucket") == F.col("_b")), "left")
+    rows = rows.withColumn("_at", F.col("_before") + F.col("_local")).withColumn("_block", F.floor(F.col("_at") / block_bytes).cast("long"))
+    rows = rows.withColumn("_p", F.get("_plan", (F.col("_block") - F.floor(F.col("_before") / block_bytes)).cast("int")))
     mix = F.struct(
-        F.col("mix.source").alias("source"), F.col("_block").alias("block"), (turn + F.col("_r")).alias("release"), (turn + F.col("_d")).alias("deadline"),
-        slot.alias("slot"), (slot * block_bytes + F.col("_at") % block_bytes).alias("order"), (slot < horizon).alias("on_target"),
+        F.col("mix.source").alias("source"), F.col("_block").alias("block"), F.col("_p.release").alias("release"), F.col("_p.deadline").alias("deadline"),
+        F.col("_p.slot").alias("slot"), (F.col("_p.place") * block_bytes + F.col("_at") % block_bytes).alias("order"), F.col("_p.on_target").alias("on_target"),
     )
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c != "mix"], mix.alias("mix"))
 
