@@ -8,7 +8,7 @@ network is a unigram model by classes.
 
 The network learns by truncated backpropagation in numpy. In each round several replicas go on from the
 same weights, each over documents of its own, and their weights are averaged. Weights have a fixed size.
-One training document in TRAIN_EVERY is used for that, which grows with the input; counts use all.
+Every training document is in one round's share, so the weights learn from all of them, once.
 
 Scoring carries the state through whole documents. Counts of frequent words are looked up in a table of
 bounded size; the other words' counts come by a join.
@@ -32,7 +32,6 @@ HEAD_CLASSES = 24
 HIDDEN = 16
 #: Words whose counts are looked up by each task, at most; it bounds what is broadcast.
 KNOWN_WORDS = 1 << 18
-TRAIN_EVERY = 12
 ROUNDS = 3
 #: Training tokens of a replica in a round, about, and replicas, at most.
 REPLICA_TOKENS = 300_000
@@ -164,8 +163,8 @@ def learn_network(texts: DataFrame, vocabulary) -> dict[str, np.ndarray]:
     weights = new_weights(v.shape, np.r_[v.counts_of_head, v.tail_tokens])
     if not v.tokens:
         return weights
-    sample = stored(texts.where(F.pmod(F.xxhash64("key", F.lit(17)), F.lit(TRAIN_EVERY)) == 0).withColumn("round", F.pmod(F.xxhash64("key", F.lit(29)), F.lit(ROUNDS))))
-    replicas = int(min(MOST_REPLICAS, max(2, v.tokens // (TRAIN_EVERY * ROUNDS * REPLICA_TOKENS))))
+    shares = texts.withColumn("round", F.pmod(F.xxhash64("key", F.lit(29)), F.lit(ROUNDS)))
+    replicas = int(min(MOST_REPLICAS, max(2, v.tokens // (ROUNDS * REPLICA_TOKENS))))
     spark = texts.sparkSession
     for k in range(ROUNDS):
         shared = spark.sparkContext.broadcast(weights)
@@ -199,7 +198,7 @@ def learn_network(texts: DataFrame, vocabulary) -> dict[str, np.ndarray]:
             return pa.table({"slot": rows.column("slot")[:1], "n": [int(sum(rows.column("n").to_pylist()))], "w": [pickle.dumps(total)]})
 
         schema = "slot long, n long, w binary"
-        learned = sample.where(F.col("round") == k).select("key", "text").repartition(replicas, "key").mapInArrow(learn, schema)
+        learned = shares.where(F.col("round") == k).select("key", "text").repartition(replicas, "key").mapInArrow(learn, schema)
         learned = learned.groupBy("slot").applyInArrow(add, schema).collect()  # 16 rows at most
         if learned:
             n = sum(r["n"] for r in learned)
