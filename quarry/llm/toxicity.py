@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that the lexicon learns from, at most: those of the lowest hashes.
 MAX_TRAINING_ROWS = 50_000
+#: Entries of the lexicon, at most: those of most weight, after weights are known for all.
 MAX_ENTRIES = 20_000
 THRESHOLD = 0.7
 
@@ -37,6 +38,10 @@ FOLD = {ord(x[0]): x[1] for x in f"{LOOK_ALIKES} {DIGITS}".split()} | {ord(x): N
 SIGN = re.compile(r"(?<=[^\W\d_])[@$](?=[^\W\d_])")
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = range(3, 8)
+#: A word and its beginnings, of which one is kept as a rule.
+ENTRIES_OF_WORD = 1 + len(STEMS)
+#: Different entries that a task counts before it passes them on.
+HELD_COUNTS = 1 << 20
 
 
 def fold(text: str) -> str:
@@ -142,20 +147,36 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"entry": pa.array(entry, pa.string()), "context": pa.array(context, pa.string())})
 
 
-def _present(entries: dict[str, tuple[float, bool]]):
-    """Texts that hold each entry, for each label, added up within the task."""
+def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts that hold each word (with a dot at its end) and each beginning of a word, for each label, added up within the task."""
+    found: dict[tuple[str, int], int] = defaultdict(int)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Lexicon(entries, ()).automaton()
-        found: dict[tuple[str, int], int] = defaultdict(int)
-        for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for entry in {x[3] for x in hits(automaton, fold(text or ""))}:
-                    found[entry, label] += 1
-                found["", label] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["entry", "label", "n"])
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["entry", "label", "n"])
 
-    return count
+    for batch in batches:
+        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words = {w for w in WORD.findall(fold(text or "")) if len(w) >= 3}
+            for entry in {w + "." for w in words} | {w[:n] for w in words for n in STEMS if n <= len(w)}:
+                found[entry, label] += 1
+            if len(found) >= HELD_COUNTS:
+                yield out()
+                found.clear()
+    if found:
+        yield out()
+
+
+def _weighed(support: DataFrame, counts: DataFrame, toxic: int, other: int) -> DataFrame:
+    """support and the texts of each label that hold an entry, as `toxic` and `other`, and its log-odds as `w`.
+
+    An entry that is a word and a beginning counts as a beginning.
+    """
+    n = lambda label: F.coalesce(F.sum(F.when(F.col("label") == label, F.col("n"))), F.lit(0))
+    rows = support.join(counts.groupBy("entry").agg(n(1).alias("toxic"), n(0).alias("other")), "entry")
+    of_name = F.struct(F.when(~F.col("entry").endswith("."), 1).otherwise(0), "toxic", "other").alias("of")
+    both = rows.withColumn("name", F.rtrim("entry", F.lit("."))).groupBy("name").agg(F.max(of_name).alias("of"), F.collect_list(F.struct("entry", "count")).alias("each"))
+    rows = both.select(F.explode("each").alias("e"), "of.toxic", "of.other").select("e.*", "toxic", "other")
+    return rows.withColumn("w", F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (other + 1)))
 
 
 def _chosen(support: dict[str, int], counts: dict[tuple[str, int], int], least_weight: float) -> dict[str, tuple[float, bool]]:
@@ -197,20 +218,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-2)
     return w
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS, least_contexts: int = 6, least_weight: float = 2.0, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS, least_contexts: int = 6, least_weight: float = 2.0, exceptions: tuple[str, ...] = EXCEPTIONS, most_entries: int = MAX_ENTRIES) -> Lexicon:
     """A lexicon from labels.toxic, of rows that aren't held out; empty without such labels."""
     from .common import stored
 
     rows = stored(training_rows(docs, labels, "toxic", most))
     contexts = rows.where("label = 1").select("text").mapInArrow(_contexts, "entry string, context string").distinct()
-    support = contexts.groupBy("entry").count().where(F.col("count") >= least_contexts).orderBy(F.desc("count"), "entry").limit(MAX_ENTRIES)
-    support = {r["entry"]: r["count"] for r in support.collect()}
-    both: dict[str, tuple[float, bool]] = {}
-    for entry in support:  # an entry that is a word and a beginning counts as a beginning here
-        name = entry.rstrip(".")
-        both[name] = (1.0, entry.endswith(".") and both.get(name, (0, True))[1] and name not in support)
-    counted = rows.mapInArrow(_present(both), "entry string, label int, n long").groupBy("entry", "label").agg(F.sum("n").alias("n"))
-    entries = _chosen(support, {(r["entry"], r["label"]): r["n"] for r in counted.collect()}, least_weight)
+    support = contexts.groupBy("entry").count().where(F.col("count") >= least_contexts)
+    texts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    weighed = _weighed(support, rows.select("text", "label").mapInArrow(_present, "entry string, label int, n long"), texts.get(1, 0), texts.get(0, 0))
+    heavy = weighed.where(F.col("w") >= least_weight).orderBy(F.desc("w"), F.desc("count"), "entry").limit(ENTRIES_OF_WORD * most_entries).collect()
+    counts = {("", label): n for label, n in texts.items()}
+    for r in heavy:
+        counts[r["entry"].rstrip("."), 1], counts[r["entry"].rstrip("."), 0] = r["toxic"], r["other"]
+    chosen = _chosen({r["entry"]: r["count"] for r in heavy}, counts, least_weight)
+    entries = dict(sorted(chosen.items(), key=lambda x: (-x[1][0], x[0]))[:most_entries])
     lexicon = Lexicon(entries, exceptions)
     found = rows.select("label", _matcher(lexicon)("text").alias("m")).groupBy("label", F.round(F.log1p("m.weight"), 1).alias("w"), F.round(F.log1p("m.words"), 0).alias("l")).count()
     table = np.array([[r["w"], r["l"], r["label"], r["count"]] for r in found.collect()], float).reshape(-1, 4)
