@@ -42,7 +42,8 @@ def unmatched(left: DataFrame, links: DataFrame) -> DataFrame:
 def members_equal(left: DataFrame, right: DataFrame) -> DataFrame:
     """(left_id, right_id): pieces whose sets of lower-case member names are equal; left, right: id, members."""
     key = lambda df, name: df.select(F.col("id").alias(name), F.array_join(F.array_sort(F.array_distinct(F.transform("members", F.lower))), "\0").alias("_key")).where("_key <> ''")
-    return key(left, "left_id").join(key(right, "right_id"), "_key").groupBy("left_id").agg(F.min("right_id").alias("right_id"))
+    first = key(right, "right_id").groupBy("_key").agg(F.min("right_id").alias("right_id"))  # one for each set, so that no pairs multiply
+    return key(left, "left_id").join(first, "_key").groupBy("left_id").agg(F.min("right_id").alias("right_id"))
 
 
 def best_by_suffix(includes: DataFrame, files: DataFrame) -> DataFrame:

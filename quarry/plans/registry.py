@@ -244,6 +244,12 @@ def import_roots(spark: SparkSession, d: str) -> DataFrame:
     return _messages(spark, d).where((F.col("doc_id") % 7).isin(0, 4)).select("doc_id", T.import_root(F.col("message")).alias("root"))
 
 
+@query()
+def import_roots_all(spark: SparkSession, d: str) -> DataFrame:
+    """import_roots of all messages; null where a message names no import."""
+    return _messages(spark, d).select("doc_id", T.import_root(F.col("message")).alias("root"))
+
+
 @query("WITH p AS (SELECT DISTINCT l_partkey AS item, l_suppkey % 50 AS owner FROM lineitem), o AS (SELECT item, count(*) AS n, min(owner) AS owner FROM p GROUP BY item) SELECT owner, count(*) AS items, false AS shared FROM o WHERE n = 1 GROUP BY owner UNION ALL SELECT owner, 1, true FROM o WHERE n > 1")
 def owner_split(spark: SparkSession, d: str) -> DataFrame:
     return relational.owner_split(table(spark, d, "lineitem").select(F.col("l_partkey").alias("item"), (F.col("l_suppkey") % 50).alias("owner")), "item", "owner")
@@ -279,6 +285,22 @@ def kind_rank_order(spark: SparkSession, d: str) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy("r", "p_partkey")).cast("long")).select("p_partkey", "listed", "place")  # of the 100 rows
 
 
+@query()
+def kind_rank_order_all(spark: SparkSession, d: str) -> DataFrame:
+    """kind_rank_order of all parts: numbered within ranges of keys, whose own places add up range by range."""
+    from pyspark.sql import Window
+
+    kind = F.split_part("p_type", F.lit(" "), F.lit(1))
+    rank = F.when(kind == "ECONOMY", 0).when(kind == "STANDARD", 1).when(kind == "PROMO", 2).otherwise(3)
+    rows = table(spark, d, "part").select("p_partkey", rank.alias("r"), (rank < 3).alias("listed"), F.floor(F.col("p_partkey") / 4096).alias("range"))
+    sizes = rows.groupBy("r", "range").agg(F.count(F.lit(1)).alias("n"))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kinds = sizes.groupBy("r").agg(F.sum("n").alias("n")).select("r", earlier(Window.orderBy("r")).alias("kinds"))  # four rows
+    before = sizes.select("r", "range", earlier(Window.partitionBy("r").orderBy("range")).alias("ranges")).join(kinds, "r")
+    place = F.col("kinds") + F.col("ranges") + F.row_number().over(Window.partitionBy("r", "range").orderBy("p_partkey"))
+    return rows.join(before, ["r", "range"]).select("p_partkey", "listed", place.alias("place"))
+
+
 # --------------------------------------------------------------------------- graphs
 
 
@@ -372,6 +394,15 @@ def member_sets_equal(spark: SparkSession, d: str) -> DataFrame:
     return linkage.members_equal(m.where("id % 50 = 0"), m.where("id % 50 = 1"))
 
 
+@query()
+def member_sets_equal_all(spark: SparkSession, d: str) -> DataFrame:
+    """For every finished order, the first of all other orders that has the same set of line states."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat("l_returnflag", "l_linestatus").alias("state"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").alias("finished"))
+    m = lines.join(orders, "id").groupBy("id", "finished").agg(F.collect_set("state").alias("members"))
+    return linkage.members_equal(m.where("finished"), m.where("not finished"))
+
+
 # --------------------------------------------------------------------------- pieces
 
 
@@ -517,10 +548,20 @@ UNITS = "u AS (SELECT o_custkey % 40 AS b, CAST(o_totalprice AS BIGINT) % 60 AS
 
 @query(f"WITH ev AS (SELECT event_id, user_id, user_id % 40 AS b, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type FROM events), {UNITS}, uu AS (SELECT DISTINCT * FROM u), hit AS (SELECT event_id, count(*) AS n FROM ev JOIN uu ON ev.b = uu.b AND lo <= k AND k <= hi GROUP BY event_id), c AS (SELECT b, CASE WHEN coalesce(n, 0) > 1 THEN 'inter' WHEN event_type = 'view' THEN 'external' ELSE 'intra' END AS kind FROM ev LEFT JOIN hit USING (event_id)), p AS (SELECT b, count_if(kind = 'external') AS external, count_if(kind = 'inter') AS inter, count_if(kind = 'intra') AS intra FROM c GROUP BY b) SELECT b AS build, external, inter, intra, round(inter / greatest(external + inter + intra, 1), 8) AS inter_rate FROM p")
 def diag_rate_pivot(spark: SparkSession, d: str) -> DataFrame:
-    """Messages parsed from JSON, located in units by a range join, classified, counted by kind, and put in relation."""
+    """diag_rate_pivot_all with one order in 20 as a unit."""
+    return _rate_pivot(spark, d, table(spark, d, "orders").where("o_orderkey % 20 = 0"))
+
+
+@query()
+def diag_rate_pivot_all(spark: SparkSession, d: str) -> DataFrame:
+    """Messages parsed from JSON, located in units (all orders) by a range join, classified, counted by kind, and put in relation."""
+    return _rate_pivot(spark, d, table(spark, d, "orders"))
+
+
+def _rate_pivot(spark: SparkSession, d: str, orders: DataFrame) -> DataFrame:
     ev = table(spark, d, "events").select("event_id", (F.col("user_id") % 40).alias("file"), F.get_json_object("props", "$.k").try_cast("long").alias("ps"), "event_type").withColumn("pe", F.col("ps"))
     lo = F.floor(F.round("o_totalprice", 0)).cast("long") % 60
-    units = table(spark, d, "orders").where("o_orderkey % 20 = 0").select((F.col("o_custkey") % 40).alias("file"), (F.bround("o_totalprice", 0).cast("long") % 60).alias("ss"), (F.bround("o_totalprice", 0).cast("long") % 60 + 1 + F.col("o_orderkey") % 9).alias("se")).distinct()
+    units = orders.select((F.col("o_custkey") % 40).alias("file"), (F.bround("o_totalprice", 0).cast("long") % 60).alias("ss"), (F.bround("o_totalprice", 0).cast("long") % 60 + 1 + F.col("o_orderkey") % 9).alias("se")).distinct()
     hits = intervals.containment_join(ev.where("ps is not null"), units, width=16).select("event_id", "ss", "se").distinct().groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
     kind = F.when(F.coalesce("n", F.lit(0)) > 1, "inter").when(F.col("event_type") == "view", "external").otherwise("intra")
     counts = diagnostics.kind_counts(ev.join(hits, "event_id", "left").withColumn("kind", kind), ["file"], ["external", "inter", "intra"])
