@@ -39,6 +39,8 @@ def slots_of(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     weights = {s: float(w) for s, w in weights.items() if w > 0}
     if len(weights) > period:
         raise ValueError(f"more than {period} sources with a weight")
+    if not weights:
+        return {}
     total = sum(weights.values())
     exact = {s: w / total * period for s, w in weights.items()}
     slots = {s: max(1, int(x)) for s, x in exact.items()}
