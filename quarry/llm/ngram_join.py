@@ -24,7 +24,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, components, longs, mix, routed, sharing, signed, stored, text_key, words_of
@@ -34,6 +34,8 @@ PERCENT = 80
 #: Counters of the order's sketch and of the set filter; both are of fixed size.
 SKETCH_BITS = 20
 FILTER_BITS = 23
+#: Longs of the short parities that go along with index rows; pairs are held against the long ones afterwards.
+SHORT_PARTS = 8
 #: Leaders that a node is verified against in round one, those of the most common shingles first.
 LEADERS = 5
 
@@ -61,21 +63,15 @@ def set_name(x: np.ndarray) -> int:
         return int(signed(mix(np.array([mix(x + U64(0x5851F42D4C957F2D)).sum(dtype=U64) + U64(len(x))], U64)))[0])
 
 
-def parts_of(x: np.ndarray) -> np.ndarray:
-    """How many members, up to 255, fall into each range of the hash; what the suffix filter compares.
+def parities_of(x: np.ndarray) -> bytes:
+    """For each range of the hash, whether it holds an odd number of members: what the suffix filter compares.
 
-    There are a power of two of ranges, about one for 8 members, so that ranges of a short set are
-    unions of those of a long one.
+    Ranges are a power of two, two to four for a member; those of a short set are unions of those of a
+    long one. Two sets differ in as many members at least as in ranges of odd difference.
     """
-    bits = max(4, min(16, int(len(x) // 8).bit_length()))
-    return np.minimum(np.bincount((x >> U64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
-
-
-def apart(x: bytes, y: bytes) -> int:
-    """The least size of the symmetric difference of two sets, by their parts; counts of 255 say nothing more."""
-    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
-    full = (a == 255) | (b.reshape(len(a), -1) == 255).any(axis=1)
-    return int(np.abs(a.astype(np.int64) - b.reshape(len(a), -1).sum(axis=1, dtype=np.int64))[~full].sum())
+    bits = max(64, min(1 << 17, 1 << int(2 * len(x)).bit_length()))
+    odd = np.bincount((x & U64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -119,7 +115,7 @@ def frequency_levels(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def jaccard_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, key, n, node, parts): the size and name of each document's shingle set, null node if empty."""
+    """(doc_id, key, n, node, parts): the size, name and parities of each document's shingle set, null node if empty."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sets in shingle_sets(batches, size):
@@ -129,12 +125,12 @@ def jaccard_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                     rows.column(2),
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([set_name(x) if len(x) else None for x in sets], pa.int64()),
-                    pa.array([parts_of(x).tobytes() for x in sets], pa.binary()),
+                    pa.array([np.frombuffer(parities_of(x), np.int64) for x in sets], pa.list_(pa.int64())),
                 ],
                 names=["doc_id", "key", "n", "node", "parts"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("key")).mapInArrow(describe, "doc_id long, key long, n long, node long, parts binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("key")).mapInArrow(describe, "doc_id long, key long, n long, node long, parts array<long>")
 
 
 def _prefixes(texts: DataFrame, levels, size: int, percent: int) -> DataFrame:
@@ -170,19 +166,27 @@ def _needed(percent: int, na: str, nb: str) -> str:
     return f"cast(ceil({percent} * ({na} + {nb}) / {100 + percent}.0D - 1e-9) as long)"
 
 
-def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The suffix filter: pairs whose sets can still overlap enough by their counts in ranges of the hash."""
-    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
-    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
-    both = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    both = both.select("a", "b", (F.col("na") + F.col("nb") - 2 * F.expr(_needed(percent, "na", "nb"))).alias("most"), "pa", "pb")
+def _apart(x: Column, y: Column) -> Column:
+    """The least size of the symmetric difference of two sets, by their parities; a set twice as fine is folded once."""
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [apart(x, y) <= most for x, y, most in zip(*(batch.column(c).to_pylist() for c in ("pa", "pb", "most")))]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def folded(p: Column, other: Column) -> Column:
+        half = F.size(other)
+        return F.when(F.size(p) > half, F.zip_with(F.slice(p, F.lit(1), half), F.slice(p, half + 1, half), lambda u, v: u.bitwiseXOR(v))).otherwise(p)
+
+    odd = F.zip_with(folded(x, y), folded(y, x), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    return F.aggregate(odd, F.lit(0), lambda total, n: total + n)
 
-    return both.mapInArrow(near, "a long, b long")
+
+def _near(percent: int) -> Column:
+    """The length and suffix filters on (nx, px, ny, py): whether two sets can overlap enough."""
+    fit = F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    return fit & (_apart(F.col("px"), F.col("py")) <= F.col("nx") + F.col("ny") - 2 * F.expr(_needed(percent, "nx", "ny")))
+
+
+def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the length and suffix filters."""
+    x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias("n" + s), F.col("parts").alias("p" + s)) for c, s in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").where(_near(percent)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -263,8 +267,9 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, percent
     index = stored(_prefixes(texts, levels, size, percent))
 
     band = F.floor(F.log("n") / -log(percent / 100)).alias("band")
-    ranked = index.select("token", "node", band)
-    leaders = ranked.groupBy("token", "band").agg(F.min("node").alias("leader"))
+    ranked = index.select("token", "node", "pos", band)
+    # where a common shingle comes early, few rarer ones come before it: such a set is the middle of its copies
+    leaders = ranked.groupBy("token", "band").agg(F.min(F.struct("pos", "node")).alias("first")).select("token", "band", F.col("first.node").alias("leader"))
     near = ranked.join(leaders, ["token", "band"]).where("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("common"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("common"), "leader"))  # a node has no more leaders than indexed shingles
     near = near.withColumn("rank", rank).where(F.col("rank") <= LEADERS).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
@@ -272,27 +277,33 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, percent
     links = stored(_verified(first, texts, size, percent))
     found = stored(components(links, "a", "b"))
 
-    left = _met(index, found, percent).join(first, ["a", "b"], "left_anti")
-    second = stored(_close(left, nodes, percent))
+    second = stored(_met(index, found, nodes, percent).join(first, ["a", "b"], "left_anti"))
     return components(links.union(_verified(second, texts, size, percent)), "a", "b")
 
 
-def _met(index: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def _met(index: DataFrame, found: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of different components that share an indexed shingle and pass the filters.
 
     The first shingle that two sets at the threshold share lies in both prefixes that their own two sizes
-    ask for. All they share beyond those counted comes after the last one counted.
+    ask for. All they share beyond those counted comes after the last one counted. The join itself
+    applies the filters, the suffix filter by parities folded to a fixed size, so that a pair that fails
+    them never becomes a row.
     """
     member = index.join(found, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
     mixed = member.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    member = stored(member.join(mixed, "token", "left_semi").dropDuplicates(["token", "node"]))
-    x, y = (member.select("token", *[F.col(c).alias(c + s) for c in ("node", "n", "pos", "component")]) for s in "xy")
+    member = member.join(mixed, "token", "left_semi").dropDuplicates(["token", "node"])
+    short = F.when(F.size("parts") <= SHORT_PARTS, F.col("parts")).otherwise(
+        F.transform(F.sequence(F.lit(0), F.lit(SHORT_PARTS - 1)), lambda k: F.aggregate(F.filter("parts", lambda _, i: i % SHORT_PARTS == k), F.lit(0).cast("long"), lambda u, v: u.bitwiseXOR(v)))
+    )
+    member = stored(member.join(nodes.select("node", short.alias("p")), "node"))
+    x, y = (member.select("token", *[F.col(c).alias(c + s) for c in ("node", "n", "pos", "component", "p")]) for s in "xy")
     need = _needed(percent, "nx", "ny")
-    met = x.join(y, "token").where(f"nodex < nodey and componentx <> componenty and 100 * least(nx, ny) >= {percent} * greatest(nx, ny) and posx <= nx - {need} and posy <= ny - {need}")
+    apart = F.expr(f"nodex < nodey and componentx <> componenty and posx <= nx - {need} and posy <= ny - {need}")
+    met = x.join(y, (x["token"] == y["token"]) & apart & _near(percent))
     met = met.groupBy(F.col("nodex").alias("a"), F.col("nodey").alias("b")).agg(
-        F.count(F.lit(1)).alias("common"), F.max("posx").alias("px"), F.max("posy").alias("py"), F.first("nx").alias("nx"), F.first("ny").alias("ny")
+        F.count(F.lit(1)).alias("common"), F.max("posx").alias("lastx"), F.max("posy").alias("lasty"), F.first("nx").alias("nx"), F.first("ny").alias("ny")
     )
-    return met.where(f"common + least(nx - px - 1, ny - py - 1) >= {need}").select("a", "b")
+    return _close(met.where(f"common + least(nx - lastx - 1, ny - lasty - 1) >= {need}").select("a", "b"), nodes, percent)
 
 
 def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
