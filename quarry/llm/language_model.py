@@ -34,10 +34,11 @@ HIDDEN = 16
 KNOWN_WORDS = 1 << 18
 ROUNDS = 3
 #: Training tokens of a replica in a round, about, and replicas, at most.
-REPLICA_TOKENS = 300_000
+REPLICA_TOKENS = 600_000
 MOST_REPLICAS = 512
 #: Tokens that a task scores at a time.
 CHUNK_TOKENS = 1 << 19
+LONG_TEXT = 1024
 
 END = 0x6A09E667F3BCC908
 SIGN = np.zeros(256, bool)
@@ -62,7 +63,7 @@ def in_training(doc_id: str = "doc_id") -> Column:
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
-    """(hash, tail, c): exact counts of all tokens of column text; the end token's hash is END, its tail -1."""
+    """(hash, tail, c): exact counts of all tokens of column text; the end token's hash is END, its tail 63, which is no tail class."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -101,6 +102,9 @@ class Vocabulary:
     def __init__(self, keys: np.ndarray, counts: np.ndarray, tails: np.ndarray, tail_tokens: np.ndarray, tail_types: np.ndarray, tokens: int, types: int):
         order = np.lexsort((keys, -counts))
         top = order[:HEAD]
+        end = np.flatnonzero(keys == (END & ~63 | 63))
+        if len(end) and end[0] not in top:  # the end is always in the head, as no tail class counts it
+            top[-1] = end[0]
         cut = np.cumsum(np.sqrt(counts[top]))
         classes = np.minimum((cut - 1e-9) / (cut[-1] if len(cut) else 1) * HEAD_CLASSES, HEAD_CLASSES - 1).astype(np.int64)
         self.shape = Shape(np.unique(classes, return_inverse=True)[1], TAILS, HIDDEN)
@@ -192,17 +196,17 @@ def learn_network(texts: DataFrame, vocabulary) -> dict[str, np.ndarray]:
 
         def add(rows):
             total: dict[str, np.ndarray] = {}
-            for raw in rows.column("w"):
-                for c, x in pickle.loads(raw.as_py()).items():
+            for raw in sorted(rows.column("w").to_pylist()):  # in one order, so that a repeated task gives the same sums
+                for c, x in pickle.loads(raw).items():
                     total[c] = total.get(c, 0) + x
             return pa.table({"slot": rows.column("slot")[:1], "n": [int(sum(rows.column("n").to_pylist()))], "w": [pickle.dumps(total)]})
 
         schema = "slot long, n long, w binary"
-        learned = shares.where(F.col("round") == k).select("key", "text").repartition(replicas, "key").mapInArrow(learn, schema)
+        learned = shares.where(F.col("round") == k).select("key", "text").repartition(replicas, "key").sortWithinPartitions("key", "text").mapInArrow(learn, schema)
         learned = learned.groupBy("slot").applyInArrow(add, schema).collect()  # 16 rows at most
         if learned:
             n = sum(r["n"] for r in learned)
-            sums = [pickle.loads(bytes(r["w"])) for r in learned]
+            sums = [pickle.loads(bytes(r["w"])) for r in sorted(learned, key=lambda r: r["slot"])]
             weights = {c: (sum(x[c] for x in sums) / np.float32(n)).astype(np.float32) for c in weights}
     return weights
 
@@ -230,8 +234,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         share_of_tail = np.log10(v.tail_tokens + v.tail_types + 1)
 
         def out(held: list) -> pa.RecordBatch:
-            token, count, keys = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
-            n = np.concatenate([np.diff(x[4]) for x in held])
+            token, count, keys, n = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3, 4))
             first = np.r_[0, np.cumsum(n)]
             doc = np.repeat(np.arange(len(n)), n)
             total = log_probability(w, v.shape, token, first) / np.log(10)
@@ -248,16 +251,23 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "key", "n_tokens", "n_known", "base", "score", "rare"],
             )
 
-        held, size = [], 0
+        # long texts wait for each other, so that a few of them don't keep many short ones' lanes idle
+        held, size = {False: [], True: []}, {False: 0, True: 0}
         for rows, words in words_of(batches, lower=True):
             token, first, count, keys = v.tokens_of(words)
-            held.append((rows, token, count, keys, first))
-            size += len(token)
-            if size >= CHUNK_TOKENS:
-                yield out(held)
-                held, size = [], 0
-        if held:
-            yield out(held)
+            n = np.diff(first)
+            for long in (False, True):
+                own = (n > LONG_TEXT) == long
+                if own.any():
+                    of = np.repeat(own, n)
+                    held[long].append((rows.filter(pa.array(own)), token[of], count[of], keys[of], n[own]))
+                    size[long] += int(n[own].sum())
+                    if size[long] >= CHUNK_TOKENS:
+                        yield out(held[long])
+                        held[long], size[long] = [], 0
+        for some in held.values():
+            if some:
+                yield out(some)
 
     scored = stored(docs.select("doc_id", "text", "key").mapInArrow(score, schema))
     rare = scored.select("key", F.explode("rare").alias("token")).groupBy("token", "key").agg(F.count(F.lit(1)).alias("n"))

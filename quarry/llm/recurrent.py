@@ -79,7 +79,10 @@ def lanes(lengths: np.ndarray, n: int) -> list[list[int]]:
 class Streams:
     """Documents laid out in lanes: at each step, for the lanes still running, the token before, the token to come, and whether a document begins."""
 
-    def __init__(self, tokens: np.ndarray, first: np.ndarray, shape: Shape, width: int):
+    def __init__(self, tokens: np.ndarray, first: np.ndarray, shape: Shape, width: int, segment: int | None = None):
+        starts = first[:-1][np.diff(first) > 0]
+        if segment:  # long documents in segments, each in a lane of its own, that go on from the token before but not from its state
+            first = np.unique(np.concatenate([first, *[np.arange(a, b, segment) for a, b in zip(first[:-1], first[1:]) if b - a > segment]]))
         self.docs = lanes(np.diff(first), width)
         rows = [np.concatenate([np.arange(first[d], first[d + 1]) for d in own]) for own in self.docs]
         self.sizes = np.array([len(x) for x in rows])
@@ -92,7 +95,7 @@ class Streams:
         self.begins = begins
         self.before = np.empty(len(tokens), np.int64)
         self.before[1:] = tokens[:-1]
-        self.before[begins] = shape.head + shape.tails
+        self.before[starts] = shape.head + shape.tails
         self.tokens = tokens
 
     def windows(self, size: int):
@@ -146,27 +149,31 @@ def output(w: dict[str, np.ndarray], shape: Shape, x: np.ndarray, token: np.ndar
     runs = shape.runs()
     order = np.argsort(cls, kind="stable")
     cut = np.searchsorted(cls[order], np.arange(shape.head_classes + 1))
+    order = order[: cut[-1]]  # the head's words, class by class
+    xs, hit, lp = x[order], token[order], np.zeros(len(order), F32)
+    more = None if gradient is None else np.zeros_like(xs)
     for c in range(shape.head_classes):
         a, b = runs[c], runs[c + 1]
-        own = order[cut[c] : cut[c + 1]]
-        if not len(own) or b - a < 2:
+        own = slice(cut[c], cut[c + 1])
+        if cut[c] == cut[c + 1] or b - a < 2:
             continue
-        xs = x[own]
-        y = xs @ w["Wo"][a:b].T
+        y = xs[own] @ w["Wo"][a:b].T
         y += w["bo"][a:b]
         y -= y.max(axis=1, keepdims=True)
-        some = np.arange(len(own))
-        hit = token[own] - a
-        lp = y[some, hit]
+        some, at = np.arange(len(y)), hit[own] - a
+        first = y[some, at]
         np.exp(y, out=y)
         total = y.sum(axis=1)
-        logp[own] += lp - np.log(total)
+        lp[own] = first - np.log(total)
         if gradient is not None:
             y /= total[:, None]
-            y[some, hit] -= 1
-            back[own] += y @ w["Wo"][a:b]
-            gradient["Wo"][a:b] += y.T @ xs
+            y[some, at] -= 1
+            more[own] = y @ w["Wo"][a:b]
+            gradient["Wo"][a:b] += y.T @ xs[own]
             gradient["bo"][a:b] += y.sum(axis=0)
+    logp[order] += lp
+    if back is not None:
+        back[order] += more
     return logp, back
 
 
@@ -186,13 +193,13 @@ def log_probability(w: dict[str, np.ndarray], shape: Shape, tokens: np.ndarray,
     return np.bincount(doc, weights=logp, minlength=len(first) - 1)
 
 
-def train(w: dict[str, np.ndarray], shape: Shape, tokens: np.ndarray, first: np.ndarray, width: int = 48, window: int = 16, rate: float = 0.01) -> dict[str, np.ndarray]:
-    """One pass of truncated backpropagation through time over documents, by Adam."""
+def train(w: dict[str, np.ndarray], shape: Shape, tokens: np.ndarray, first: np.ndarray, width: int = 192, window: int = 16, rate: float = 0.03, segment: int = 256) -> dict[str, np.ndarray]:
+    """One pass of truncated backpropagation through time over documents, by Adam, in segments of long ones."""
     w = {k: x.copy() for k, x in w.items()}
     if not len(tokens):
         return w
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-    s = Streams(tokens, first, shape, width)
+    s = Streams(tokens, first, shape, width, segment)
     h = np.zeros((len(s.docs), shape.hidden), F32)
     k, step = shape.hidden, 0
     for at in s.windows(window):
@@ -204,21 +211,28 @@ def train(w: dict[str, np.ndarray], shape: Shape, tokens: np.ndarray, first: np.
         full = np.zeros_like(states)
         full[real] = back
         later = np.zeros((len(h), k), F32)
-        inputs, changes = [], []
+        owns, zs, cs, rs, uns = (np.concatenate([x[j] for x in kept]) for j in (1, 4, 5, 3, 6))
+        of_c, of_z, of_r = (1 - zs) * (1 - cs * cs), (owns - cs) * zs * (1 - zs), uns * rs * (1 - rs)  # what each step's gradient is multiplied by
+        ends = np.cumsum([len(x[0]) for x in kept])
+        change, du = np.empty((len(zs), 3 * k), F32), np.empty((len(zs), 3 * k), F32)
+        back_u = np.ascontiguousarray(w["U"].T)
         for t in range(len(at) - 1, -1, -1):
-            row, own, new, r, z, c, un = kept[t]
+            row, new = kept[t][0], kept[t][2]
             n = len(row)
+            own = slice(ends[t] - n, ends[t])
             d = full[t, :n] + later[:n]
-            dc = d * (1 - z) * (1 - c * c)
-            dz = d * (own - c) * z * (1 - z)
-            dr = dc * un * r * (1 - r)
-            du = np.concatenate([dr, dz, dc * r], axis=1)
-            g["U"] += own.T @ du
-            prev = d * z + du @ w["U"].T
-            prev[new] = 0
+            dc = d * of_c[own]
+            du[own, :k] = dc * of_r[own]
+            du[own, k : 2 * k] = d * of_z[own]
+            du[own, 2 * k :] = dc * rs[own]
+            change[own, 2 * k :] = dc
+            prev = d * zs[own] + du[own] @ back_u
+            if new.any():
+                prev[new] = 0
             later[:n] = prev
-            inputs.append(s.before[row])
-            changes.append(np.concatenate([dr, dz, dc], axis=1))
+        change[:, : 2 * k] = du[:, : 2 * k]
+        g["U"] += owns.T @ du
+        inputs, changes = [s.before[x[0]] for x in kept], [change]
         x, dx = np.concatenate(inputs), np.concatenate(changes)
         order = np.argsort(x, kind="stable")
         x = x[order]
