@@ -213,15 +213,6 @@ def test_mixing(docs, empty):
     assert in_mixed_order(docs).columns == docs.columns and in_mixed_order(docs).count() == docs.count()
 
 
-def test_licenses(spark, docs):
-    from quarry.llm.license_scan import learn_licenses, scan_licenses
-
-    data = [(1, "plain text\nReleased under the MIT License.\nmore"), (2, "Licensed under the Apache License, Version 2.0."), (3, "the license plate was lost"), (4, None), (5, ""), (6, "This work is licensed under the GNU General Public License, version 3.")]
-    model = learn_licenses(docs)
-    got = {(r["doc_id"], r["paragraph"]): r["family"] for r in scan_licenses(spark.createDataFrame(data, "doc_id long, text string"), model).collect()}
-    assert got == {(1, 1): "mit", (2, 0): "apache-2.0", (3, 0): "unknown", (6, 0): "gpl"}
-
-
 def test_quality(spark, empty):
     from quarry.llm.quality import score_quality
 
@@ -299,3 +290,107 @@ def test_neighbours(spark):
     assert hit >= 54 and {r["query_id"] for r in got} == set(range(0, 600, 100))
     few = nearest(spark.createDataFrame(data[:3], "vec_id long, embedding array<float>")).collect()
     assert [(r["query_id"], r["rank"]) for r in few] == [(0, 1), (0, 2)]
+
+
+def test_ngram_join_of_loose_copies(spark):
+    """A large group of copies that are too far apart to be one class: few pairs are made, no link is lost."""
+    from quarry.llm import ngram_join
+
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    origin, data = [rng.choice(vocabulary) for _ in range(150)], []
+    for k in range(420):
+        w = list(origin)
+        for _ in range(rng.randrange(9)):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        data.append((k, " ".join(w + [rng.choice(vocabulary) for _ in range(rng.randrange(30))])))
+    data += [(1000 + k, " ".join(["long"] * 3 + [rng.choice(vocabulary) for _ in range(2500)])) for k in range(3)] + [(1005 + k, data[-1][1] if k else None) for k in range(2)]
+    want = {data[k][0]: (n, data[c][0]) for k, (n, c) in enumerate(linked([t for _, t in data]))}
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs).collect()}
+    assert got == want and 1 < len({c for _, c in got.values()}) < len(data) - 50
+
+
+def test_parities_bound_the_difference():
+    from quarry.llm.ngram_join import parities_of
+
+    rng = np.random.default_rng(5)
+    x = np.unique(rng.integers(0, 1 << 63, 900, dtype=np.int64).astype(np.uint64))
+    for cut in (0, 1, 40, 300):
+        y = np.concatenate([x[cut:], rng.integers(0, 1 << 63, cut // 2, dtype=np.int64).astype(np.uint64)])
+        a, b = (np.unpackbits(np.frombuffer(parities_of(z), np.uint8), bitorder="little") for z in (x, y))
+        if len(a) > len(b):
+            a = a.reshape(2, -1)[0] ^ a.reshape(2, -1)[1]
+        assert int((a ^ b).sum()) <= len(np.setxor1d(x, y)) and (cut or not (a ^ b).any())
+
+
+def test_gradient_by_differences():
+    """The gradient of one window, as training sees it through Adam's first step, has the sign of finite differences."""
+    from quarry.llm.recurrent import Shape, log_probability, new_weights, train
+
+    rng = np.random.default_rng(1)
+    shape = Shape(np.array([0, 0, 1, 1]), 2, 3)
+    w = {k: (x + rng.normal(0, 0.4, x.shape)).astype(np.float32) for k, x in new_weights(shape, np.ones(6)).items()}
+    tokens, first = rng.integers(0, 6, 12), np.array([0, 12])
+    stepped = train(w, shape, tokens, first, width=1, window=12, rate=1e-3)
+    checked = 0
+    for name, x in w.items():
+        for at in np.ndindex(x.shape):
+            up, down = ({k: y.astype(np.float64) for k, y in w.items()} for _ in range(2))
+            up[name][at] += 1e-3
+            down[name][at] -= 1e-3
+            slope = (log_probability(up, shape, tokens, first)[0] - log_probability(down, shape, tokens, first)[0]) / 2e-3
+            if abs(slope) > 0.05:
+                assert np.sign(stepped[name][at] - x[at]) == np.sign(slope), (name, at, slope)
+                checked += 1
+    assert checked > 40
+
+
+def test_language_model_learns(spark):
+    """Held-out texts of a language with order are likelier than their words' counts make them, by a third of the base's log at least; a rerun agrees."""
+    from quarry.llm import language_model
+
+    rng = random.Random(9)
+    follow = {k: [rng.randrange(60) for _ in range(2)] for k in range(60)}
+    data = []
+    for k in range(900):
+        x, out = rng.randrange(60), []
+        for _ in range(rng.randint(20, 120)):
+            out.append(f"w{x}")
+            x = rng.choice(follow[x])
+        data.append((k, " ".join(out)))
+    docs = spark.createDataFrame(data + data[:5], "doc_id long, text string")
+    got = language_model.score_documents(docs).collect()
+    held = [r for r in got if r["held_out"]]
+    assert len(got) == 905 and sum(r["score"] for r in held) > 0.67 * sum(r["base_score"] for r in held)
+    again = language_model.score_documents(docs.repartition(3)).collect()
+    key = lambda rows: sorted((r["doc_id"], round(r["score"], 3)) for r in rows)
+    assert key(got) == key(again)
+
+
+def test_end_token_has_a_share_beside_many_frequent_words():
+    from quarry.llm.language_model import END, HEAD, TAILS, Vocabulary
+
+    keys = np.r_[np.arange(2000) * 64 + 3, END & ~63 | 63]
+    v = Vocabulary(keys, np.r_[np.full(2000, 50), 7], keys & 63, np.full(TAILS, 5e4), np.full(TAILS, 900.0), 100_007, 2001)
+    assert v.head[np.searchsorted(v.keys, END & ~63 | 63)] >= 0 and (v.head >= 0).sum() == HEAD
+
+
+def test_pieces_against_the_tokenizer():
+    """Texts of odd signs, spaces and letters: the ids put together from pieces are the tokenizer's own."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from quarry.llm.token_output import Encoder
+
+    enc, rng = Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3)
+    signs = ["a", "b", "Z", "é", "ß", "×", "÷", "«", "»", "'", "'s", "'t", "'ll", ",", ".", "!", "-", "_", "$", "1", "23", "²", "½", "中", "。", "–", "’", "😀", "́"]
+    odd = ["\u00a0", "\u3000", "\u2009", "  ", "\n\n", "\t", "\r", "\x1c", "\u0085", "<|", "<|endoftext|>", "\x00"]
+    texts = [None, "", " ", "\n", " a", "a ", "x" * 700, "a" + "," * 300]
+    for k in range(4000):
+        texts.append("".join(rng.choice(signs + [" "] * 12 + ["\n"] * 4 + ["th", "in", ",", "."] * 3 + (odd if k % 2 else [])) for _ in range(rng.randrange(40))))
+    raw = [(x or "").encode() for x in texts]
+    for part in (slice(0, 2000), slice(1500, None), slice(0, 0)):
+        own = raw[part]
+        ids, n = enc.encode(np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)]), 2)
+        cuts = np.split(ids, np.cumsum(n)[:-1]) if len(own) else []
+        for t, found in zip(texts[part], cuts):
+            assert found.tolist() == [*enc.tokenizer.encode(t or "", add_special_tokens=False).ids, 2], t
