@@ -81,13 +81,50 @@ def includes(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"""#include\s*("[^"]+"|<[^>]+>)"""), F.lit(1)), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
 
 
+# The beginnings of messages that name an import.
+IMPORT_ERRORS = (
+    r"^unresolved imports? `(\S+)`",
+    r"^failed to resolve: use of unresolved modules? or unlinked crates? `(\S+)`",
+    r"^failed to resolve: .* `(\S+)` is not a crate or module",
+)
+
+
 def import_root(message: Column) -> Column:
     """The first segment of what an import error names; null for other messages."""
-    patterns = (r"unresolved import `([^`]+)`", r"failed to resolve: .*`([^`]+)`", r"can't find crate for `([^`]+)`")
-    found = F.coalesce(*[F.nullif(F.regexp_extract(message, p, 1), F.lit("")) for p in patterns])
+    found = F.coalesce(*[F.nullif(F.regexp_extract(message, p, 1), F.lit("")) for p in IMPORT_ERRORS])
     return F.split_part(found, F.lit("::"), F.lit(1))
 
 
+def strip_include(folder: Column, include: Column) -> Column:
+    """folder, up by as many levels as it takes until include is no part of it."""
+    up = F.transform(F.sequence(F.lit(0), F.size(F.split(folder, "/"))), lambda k: F.array_join(F.slice(F.split(folder, "/"), F.lit(1), F.greatest(F.size(F.split(folder, "/")) - k, F.lit(0))), "/"))
+    return F.when(include == "", folder).otherwise(F.element_at(F.filter(up, lambda f: (f == "") | ~F.contains(f, include)), 1))
+
+
+def non_blank(text: Column) -> Column:
+    """Whether more than white space and separators stands in a text."""
+    return F.translate(text, " \t\n,;{}", "") != ""
+
+
+def exported(text: Column) -> Column:
+    """Without test attributes' lines, and with the unsafe form of the no-mangle attribute."""
+    return F.replace(F.regexp_replace(text, r"(?m)^\s*#\[test\]\s*?\n", ""), F.lit("#[no_mangle]"), F.lit("#[unsafe(no_mangle)]"))
+
+
+def joined(*parts: Column, separator: str = "\n") -> Column:
+    """The parts that aren't null or empty."""
+    return F.concat_ws(separator, *[F.nullif(x, F.lit("")) for x in parts])
+
+
+def registry_crate(path: Column) -> Column:
+    """The crate's name in a path of the registry's sources."""
+    return F.nullif(F.regexp_extract(path, r".*/\.cargo/registry/src/.*/([\w-]+)-\d+\.\d+\.\d+/.*", 1), F.lit(""))
+
+
+def feature_gate(message: Column) -> Column:
+    return F.nullif(F.regexp_extract(message, r"^the item is gated behind the `(.*)` feature", 1), F.lit(""))
+
+
 def first_usable(*versions: Column) -> Column:
     """The first that is neither null, empty nor 0.0.0."""
     return F.coalesce(*[F.nullif(F.nullif(v, F.lit("")), F.lit("0.0.0")) for v in versions])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators.intervals import containment_join
 
 ABORTING = r"^error: aborting due to \d+ previous errors?"
 
@@ -21,12 +22,41 @@ def all_spans(message: str = "message"):
     return F.concat(own, F.flatten(F.transform(F.coalesce(F.col(f"{message}.children"), F.array()), lambda c: F.coalesce(c["spans"], F.array()))))
 
 
+def unfolded(span: Column, depth: int) -> Column:
+    """A span's chain of macro expansions: the definition sites that have a place, from the outside in, and the innermost call site.
+
+    span: a struct with `expansion` (span, def_site_span), nested `depth` times.
+    """
+    sites, at = [], span
+    plain = lambda s: F.struct(*[s[c].alias(c) for c in ("file_name", "line_start", "line_end", "byte_start")])
+    inner = plain(at)
+    for _ in range(depth):
+        step = at["expansion"]
+        sites.append(F.when(step["def_site_span"]["byte_start"] != 0, plain(step["def_site_span"])))
+        inner = F.when(step.isNotNull(), plain(step["span"])).otherwise(inner)
+        at = step["span"]
+    return F.concat(F.filter(F.array(*sites), lambda s: s.isNotNull()), F.array(inner))
+
+
+def not_before(spans: Column, line: Column) -> Column:
+    """Whether some span ends at the line or later; no spans, no."""
+    return F.exists(F.coalesce(spans, F.array().cast("array<struct<line_end:int>>")), lambda s: s["line_end"] >= line)
+
+
+def gated_features(children: Column) -> Column:
+    """(crate, feature) of neighbouring notes: an item that was configured out, and the gate that the next note names. The last note has no next one."""
+    pairs = F.arrays_zip(children.alias("a"), F.slice(children, F.lit(2), F.greatest(F.size(children) - 1, F.lit(0))).alias("b"))
+    out = F.filter(pairs, lambda p: (p["a"]["message"] == "found an item that was configured out") & p["b"].isNotNull())
+    found = F.transform(out, lambda p: F.struct(T.registry_crate(p["a"]["path"]).alias("crate"), T.feature_gate(p["b"]["message"]).alias("feature")))
+    return F.array_distinct(F.filter(found, lambda f: f["crate"].isNotNull() & f["feature"].isNotNull()))
+
+
 def located(messages: DataFrame, units: DataFrame, build: str, msg: str, spans: str = "spans", file: str = "src/lib.rs") -> DataFrame:
     """(build, msg, unit): distinct units of the build that contain a span of the message in the file."""
     s = messages.select(build, msg, F.explode(spans).alias("s")).where(F.col("s.file_name") == file)
-    s = s.select(build, msg, F.col("s.line_start").alias("_a"), F.col("s.line_end").alias("_b"))
-    u = units.select(F.col("build_id").alias(build), "lo", "hi")
-    return s.join(u, build).where("lo <= _a and _b <= hi").select(build, msg, F.struct("lo", "hi").alias("unit")).distinct()
+    s = s.select(build, msg, F.col(build).alias("file"), F.col("s.line_start").alias("ps"), F.col("s.line_end").alias("pe"))
+    u = units.select(F.col("build_id").alias("file"), F.col("lo").alias("ss"), F.col("hi").alias("se"))
+    return containment_join(s, u).select(build, msg, F.struct(F.col("ss").alias("lo"), F.col("se").alias("hi")).alias("unit")).distinct()
 
 
 def classified(messages: DataFrame, units: DataFrame, build: str, msg: str, text: str, file: str = "src/lib.rs") -> DataFrame:

@@ -119,7 +119,38 @@ def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def votes(edges: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(node, votes): candidates next to chosen nodes, by how many of them they touch, either way."""
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("node")).union(edges.select(F.col("dst").alias("a"), F.col("src").alias("node"))).distinct()
+    """(node, votes): candidates next to chosen nodes, by their edges with them; edges both ways are two votes."""
+    once = edges.select("src", "dst").distinct()
+    both = once.select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("node")), F.struct(F.col("dst").alias("a"), F.col("src").alias("node")))).alias("e")).select("e.a", "e.node")
     picked = chosen.select(F.col("node").alias("a"))
     return both.join(picked, "a", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("votes")).join(chosen.select("node"), "node", "left_anti")
+
+
+def roots(parents: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """(node, root, depth): where each node's chain of parents ends, and its length, by pointer jumping.
+
+    parents: node, parent, one row at most for a node; a parent that has no row itself is a root. Every
+    round doubles the jumps, so a chain of n takes log(n) joins. A cycle has no root and is an error.
+    """
+    at = _kept(parents.select("node", F.col("parent").alias("to"), F.lit(1).cast("long").alias("depth")))
+    for _ in range(most_rounds):
+        on = at.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"))
+        if at.join(on, "to", "left_semi").isEmpty():
+            return at.select("node", F.col("to").alias("root"), "depth")
+        at = _kept(at.join(on, "to", "left").select("node", F.coalesce("next", "to").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+    raise ValueError("a chain of parents is a cycle")
+
+
+def between_mains(edges: DataFrame, mains: DataFrame) -> DataFrame:
+    """edges (src, dst, src_file, dst_file) without those between two different files that both have a main; mains: file."""
+    m = mains.select("file").distinct()
+    a, b = (m.select(F.col("file").alias(c), F.lit(True).alias(f"_{c}")) for c in ("src_file", "dst_file"))
+    both = F.coalesce("_src_file", F.lit(False)) & F.coalesce("_dst_file", F.lit(False)) & (F.col("src_file") != F.col("dst_file"))
+    return edges.join(a, "src_file", "left").join(b, "dst_file", "left").where(~both).select(*edges.columns)
+
+
+def one_end_in(edges: DataFrame, chosen: DataFrame) -> DataFrame:
+    """edges (src, dst) of which exactly one end is chosen."""
+    c = chosen.select("node").distinct()
+    a, b = (c.select(F.col("node").alias(x), F.lit(True).alias(f"_{x}")) for x in ("src", "dst"))
+    return edges.join(a, "src", "left").join(b, "dst", "left").where(F.col("_src").isNull() != F.col("_dst").isNull()).select(*edges.columns)

@@ -10,15 +10,25 @@ def parent(path: str = "path"):
     return F.slice(F.col(path), 1, F.size(path) - 1)
 
 
-def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """New rows replace old ones of the same path; old children stay where the parent isn't replaced or keeps its kind. Replaced and new rows come last in order."""
-    last = old.groupBy("doc_id").agg(F.max("ord").alias("_last"))
-    kinds = new.select("doc_id", F.col("path").alias("_parent"), F.col("kind").alias("_new_kind"))
-    was = old.select("doc_id", F.col("path").alias("_parent"), F.col("kind").alias("_old_kind"))
-    gone = was.join(kinds, ["doc_id", "_parent"]).where("_old_kind <> _new_kind").select("doc_id", "_parent")
-    kept = old.join(new.select("doc_id", "path"), ["doc_id", "path"], "left_anti").withColumn("_parent", parent()).join(gone, ["doc_id", "_parent"], "left_anti").select(*old.columns)
+def upsert(old: DataFrame, new: DataFrame, extendable: list[str] | None = None) -> DataFrame:
+    """New pieces, with all that lies in them, in place of old ones of the same path.
+
+    Of a replaced container the direct children that the new one doesn't name stay, with all below them,
+    if both are of the same kind and that is extendable (None: every kind is). New rows come last in
+    order, such children after them.
+    """
+    above = new.select("doc_id", "path", "kind").withColumn("_up", parent()).join(new.select("doc_id", F.col("path").alias("_up")), ["doc_id", "_up"], "left_anti").select("doc_id", F.col("path").alias("_top"), F.col("kind").alias("_new_kind"))
+    span = new.groupBy("doc_id").agg((F.max("ord") + 2).alias("_span"))
+    last = old.groupBy("doc_id").agg(F.max("ord").alias("_last")).join(span, "doc_id")
+    hit = old.withColumn("_top", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", 1, k)))).join(above, ["doc_id", "_top"])
+    was = old.select("doc_id", F.col("path").alias("_top"), F.col("kind").alias("_old_kind"))
+    same = (F.col("_old_kind") == F.col("_new_kind")) & (F.lit(True) if extendable is None else F.col("_old_kind").isin(extendable))
+    below = hit.where(F.size("path") > F.size("_top")).join(was, ["doc_id", "_top"]).where(same).withColumn("_child", F.slice(F.col("path"), F.lit(1), F.size("_top") + 1))
+    carried = below.join(new.select("doc_id", F.col("path").alias("_child")), ["doc_id", "_child"], "left_anti").join(last, "doc_id")
+    carried = carried.withColumn("ord", F.col("_last") + F.col("_span") + F.col("ord")).select(*old.columns)
+    kept = old.join(hit.select("doc_id", "path").distinct(), ["doc_id", "path"], "left_anti").select(*old.columns)
     fresh = new.join(last, "doc_id", "left").withColumn("ord", F.coalesce("_last", F.lit(0)) + F.col("ord") + 1).select(*old.columns)
-    return kept.unionByName(fresh)
+    return kept.unionByName(fresh).unionByName(carried)
 
 
 def evicted(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -38,6 +48,21 @@ def without(pieces: DataFrame, gone: DataFrame, container_kinds: list[str]) -> D
     return left.join(empty.join(had, ["doc_id", "path"], "left_semi"), ["doc_id", "path"], "left_anti")
 
 
+def shadowed(old: DataFrame, uses: DataFrame) -> DataFrame:
+    """old without top-level pieces, imports or others, whose name a new import brings; uses: doc_id, name."""
+    names = uses.select("doc_id", F.col("name").alias("_name")).distinct()
+    top = old.withColumn("_name", F.get("path", F.lit(0)))
+    return top.join(names, ["doc_id", "_name"], "left_anti").select(*old.columns)
+
+
+def halves(pieces: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pieces at or below a chosen path, and all others."""
+    want = chosen.select("doc_id", F.col("path").alias("_chosen")).distinct()
+    ups = pieces.select("doc_id", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", 1, k))).alias("_chosen"))
+    inside = ups.join(want, ["doc_id", "_chosen"], "left_semi").select("doc_id", "path").distinct()
+    return pieces.join(inside, ["doc_id", "path"], "left_semi"), pieces.join(inside, ["doc_id", "path"], "left_anti")
+
+
 def trimmed(pieces: DataFrame, wanted: DataFrame, whole_kinds: list[str]) -> DataFrame:
     """Wanted pieces, all above them, and all members of a container of whole_kinds of which one is wanted."""
     want = wanted.select("doc_id", "path").distinct()

@@ -29,9 +29,20 @@ def diff(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """Each key's row of the highest order."""
-    w = Window.partitionBy(*key).orderBy(*[c.desc() for c in order])
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    """Each key's row of the highest order; tasks pass on one row of a key each."""
+    rest = [c for c in df.columns if c not in key]
+    best = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_best"))
+    return best.select(*[F.col(c) if c in key else F.col("_best")[c].alias(c) for c in df.columns])
+
+
+def reduction(before: Column, after: Column) -> Column:
+    """By what share `after` is below `before`; null where that is nought."""
+    return 1 - after / F.nullif(before, F.lit(0))
+
+
+def pivoted(df: DataFrame, row: str, column: str, values: list[str], measure: Column) -> DataFrame:
+    """One row for each `row`, one column for each of the listed values, in sorted order; rows that lack one are left out."""
+    return df.groupBy(row).pivot(column, sorted(values)).agg(measure).na.drop("any")
 
 
 def joined_text(df: DataFrame, key: str, order: str, text: str, separator: str = "\n") -> DataFrame:

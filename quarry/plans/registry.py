@@ -169,9 +169,10 @@ def forall_division(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH RECURSIVE n AS (SELECT p_partkey AS k, p_partkey // 2 AS up, 0 AS depth, p_partkey AS root FROM part UNION ALL SELECT n.k, n.up // 2, depth + 1, n.up FROM n WHERE n.up > 0) SELECT k AS p_partkey, min(root) AS root, max(depth)::BIGINT AS depth FROM n GROUP BY k")
 def transitive_strip(spark: SparkSession, d: str) -> DataFrame:
-    part = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("k"))
-    part.createOrReplaceTempView("_strip_parts")
-    return spark.sql("WITH RECURSIVE n(k, up, depth, root) AS (SELECT k, k div 2, 0L, k FROM _strip_parts UNION ALL SELECT k, up div 2, depth + 1, up FROM n WHERE up > 0) SELECT k AS p_partkey, min(root) AS root, max(depth) AS depth FROM n GROUP BY k")
+    up = F.floor(F.col("p_partkey") / 2).cast("long")
+    part = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("node"), up.alias("parent"))
+    found = graph.roots(part.where("parent > 0"))
+    return part.join(found, "node", "left").select(F.col("node").alias("p_partkey"), F.coalesce("root", "node").alias("root"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
 
 
 # --------------------------------------------------------------------------- sets, aggregates, order
@@ -225,12 +226,14 @@ def row_normalize(spark: SparkSession, d: str) -> DataFrame:
     return relational.row_shares(a, ["f", "o"]).select("o_orderpriority", F.round("f", 8).alias("f"), F.round("o", 8).alias("o"))
 
 
-MESSAGES = "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'unresolved import `' || lang || '::x`' WHEN 1 THEN 'cannot find value ' || lang || ' in this scope' WHEN 2 THEN 'no method named f found for struct S in the current scope' WHEN 3 THEN 'this is a call to unsafe function g' WHEN 4 THEN 'failed to resolve: use of undeclared `' || source || '`' WHEN 5 THEN 'mismatched types in ' || source ELSE 'the crate ' || lang END AS message, n_chars % 3 AS located, n_chars % 11 = 0 AS outside FROM documents"
+MESSAGES = "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'unresolved imports `' || lang || '::x`, `b::c`' WHEN 1 THEN 'cannot find value ' || lang || ' in this scope' WHEN 2 THEN 'no method named f found for struct S in the current scope' WHEN 3 THEN 'this is a call to unsafe function g' WHEN 4 THEN 'failed to resolve: ' || CASE doc_id % 3 WHEN 0 THEN 'use of unresolved module or unlinked crate `' || source || '`' WHEN 1 THEN 'could not find, as `' || source || '::y` is not a crate or module' ELSE 'use of undeclared type `' || source || '`' END WHEN 5 THEN 'mismatched types in ' || source ELSE 'the crate ' || lang END AS message, n_chars % 3 AS located, n_chars % 11 = 0 AS outside FROM documents"
 
 
 def _messages(spark: SparkSession, d: str) -> DataFrame:
     k, lang, source = F.col("doc_id") % 7, F.col("lang"), F.col("source")
-    text = F.when(k == 0, F.concat(F.lit("unresolved import `"), lang, F.lit("::x`"))).when(k == 1, F.concat(F.lit("cannot find value "), lang, F.lit(" in this scope"))).when(k == 2, "no method named f found for struct S in the current scope").when(k == 3, "this is a call to unsafe function g").when(k == 4, F.concat(F.lit("failed to resolve: use of undeclared `"), source, F.lit("`"))).when(k == 5, F.concat(F.lit("mismatched types in "), source)).otherwise(F.concat(F.lit("the crate "), lang))
+    third = F.col("doc_id") % 3
+    undeclared = F.when(third == 0, F.concat(F.lit("use of unresolved module or unlinked crate `"), source, F.lit("`"))).when(third == 1, F.concat(F.lit("could not find, as `"), source, F.lit("::y` is not a crate or module"))).otherwise(F.concat(F.lit("use of undeclared type `"), source, F.lit("`")))
+    text = F.when(k == 0, F.concat(F.lit("unresolved imports `"), lang, F.lit("::x`, `b::c`"))).when(k == 1, F.concat(F.lit("cannot find value "), lang, F.lit(" in this scope"))).when(k == 2, "no method named f found for struct S in the current scope").when(k == 3, "this is a call to unsafe function g").when(k == 4, F.concat(F.lit("failed to resolve: "), undeclared)).when(k == 5, F.concat(F.lit("mismatched types in "), source)).otherwise(F.concat(F.lit("the crate "), lang))
     return table(spark, d, "documents").select("doc_id", text.alias("message"), (F.col("n_chars") % 3).alias("located"), (F.col("n_chars") % 11 == 0).alias("outside"))
 
 
@@ -239,9 +242,9 @@ def error_kind_cascade(spark: SparkSession, d: str) -> DataFrame:
     return _messages(spark, d).select("doc_id", T.error_kind(F.col("message"), F.col("located"), F.col("outside")).alias("kind"))
 
 
-@query(f"WITH m AS ({MESSAGES}) SELECT doc_id, split_part(coalesce(nullif(regexp_extract(message, 'unresolved import `([^`]+)`', 1), ''), nullif(regexp_extract(message, 'failed to resolve: .*`([^`]+)`', 1), '')), '::', 1) AS root FROM m WHERE doc_id % 7 IN (0, 4)")
+@query(f"WITH m AS ({MESSAGES}) SELECT doc_id, split_part(coalesce(nullif(regexp_extract(message, '^unresolved imports? `(\\S+)`', 1), ''), nullif(regexp_extract(message, '^failed to resolve: use of unresolved modules? or unlinked crates? `(\\S+)`', 1), ''), nullif(regexp_extract(message, '^failed to resolve: .* `(\\S+)` is not a crate or module', 1), '')), '::', 1) AS root FROM m")
 def import_roots(spark: SparkSession, d: str) -> DataFrame:
-    return _messages(spark, d).where((F.col("doc_id") % 7).isin(0, 4)).select("doc_id", T.import_root(F.col("message")).alias("root"))
+    return _messages(spark, d).select("doc_id", T.import_root(F.col("message")).alias("root"))
 
 
 @query()
@@ -384,8 +387,7 @@ def suffix_best_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fuzzy_ratio(spark: SparkSession, d: str) -> DataFrame:
-    left, right, _ = _named(spark, d)
-    return linkage.best_similar(left, right, lambda n: F.split_part(F.lower(F.replace(n, F.lit("_"), F.lit(" "))), F.lit(" "), F.lit(1)), 85)
+    return linkage.best_similar(*_named(spark, d), 85)
 
 
 @query("WITH m AS (SELECT l_orderkey AS id, list_sort(list_distinct(list(lower(l_returnflag || l_linestatus)))) AS k FROM lineitem GROUP BY l_orderkey) SELECT a.id AS left_id, min(b.id) AS right_id FROM (SELECT * FROM m WHERE id % 50 = 0) a JOIN (SELECT * FROM m WHERE id % 50 = 1) b ON a.k = b.k GROUP BY a.id")
@@ -567,3 +569,6 @@ def _rate_pivot(spark: SparkSession, d: str, orders: DataFrame) -> DataFrame:
     counts = diagnostics.kind_counts(ev.join(hits, "event_id", "left").withColumn("kind", kind), ["file"], ["external", "inter", "intra"])
     total = F.col("external") + F.col("inter") + F.col("intra")
     return counts.select(F.col("file").alias("build"), "external", "inter", "intra", F.round(F.col("inter") / F.greatest(total, F.lit(1)), 8).alias("inter_rate"))
+
+
+from quarry.plans import facts  # noqa: E402, F401  adds its queries

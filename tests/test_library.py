@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -63,15 +64,52 @@ def test_linkage(spark):
 
 def test_pieces(spark):
     shape = "doc_id string, path array<string>, kind string, text string, ord int"
-    old = spark.createDataFrame([("d", ["S"], "struct", "S", 0), ("d", ["S", "a"], "item", "a", 1), ("d", ["f"], "fn", "f", 2)], shape)
+    old = spark.createDataFrame([("d", ["S"], "struct", "S", 0), ("d", ["S", "a"], "item", "a", 1), ("d", ["S", "a", "x"], "item", "x", 1), ("d", ["f"], "fn", "f", 2)], shape)
     same = spark.createDataFrame([("d", ["S"], "struct", "S2", 0)], shape)
+    both = spark.createDataFrame([("d", ["S"], "struct", "S2", 0), ("d", ["S", "a"], "item", "a2", 1)], shape)
     other = spark.createDataFrame([("d", ["S"], "fn", "S3", 0)], shape)
-    assert rows(pieces.upsert(old, same).select("text")) == [("S2",), ("a",), ("f",)]
+    assert rows(pieces.upsert(old, same).select("text")) == [("S2",), ("a",), ("f",), ("x",)]
+    assert rows(pieces.upsert(old, both).select("text")) == [("S2",), ("a2",), ("f",)]
     assert rows(pieces.upsert(old, other).select("text")) == [("S3",), ("f",)]
+    assert rows(pieces.upsert(old, same, extendable=["impl"]).select("text")) == [("S2",), ("f",)]
+    assert rows(pieces.upsert(old.limit(0), same).select("text")) == [("S2",)] and pieces.upsert(old, same.limit(0)).count() == 4
     gone = old.where("text = 'a'").select("doc_id", "path")
     assert rows(pieces.without(old, gone, ["struct"]).select("text")) == [("f",)]
 
 
+def test_votes_and_roots(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (1, 3), (4, 1), (4, 1)], "src long, dst long")
+    assert rows(graph.votes(edges, spark.createDataFrame([(1,)], "node long"))) == [(2, 2), (3, 1), (4, 1)]
+    chain = spark.createDataFrame([(k, k + 1) for k in range(1, 50)], "node long, parent long")
+    assert rows(graph.roots(chain)) == [(k, 50, 50 - k) for k in range(1, 50)]
+    with pytest.raises(ValueError):
+        graph.roots(spark.createDataFrame([(1, 2), (2, 1)], "node long, parent long"), most_rounds=4)
+
+
+def test_best_similar_against_all_pairs(spark):
+    rng = random.Random(8)
+    names = ["".join(rng.choice("abcde_") for _ in range(rng.randint(3, 9))) for _ in range(60)]
+    data = [(k, rng.choice("pq"), n) for k, n in enumerate(names)] + [(90, "p", None), (91, "q", "")]
+    right = [(100 + k, rng.choice("xy"), n[1:] + "a" if k % 2 else n) for k, n in enumerate(names)]
+    kinds = [("p", "x"), ("q", "y"), ("q", "x")]
+    for least in (60, 85):
+        want = []
+        for i, k, n in data:
+            some = [(-linkage.indel_ratio(n, m), j) for j, q, m in right if (k, q) in kinds and n and linkage.indel_ratio(n, m) >= least]
+            if some:
+                want.append((i, min(some)[1], -min(some)[0]))
+        got = linkage.best_similar(spark.createDataFrame(data, "id long, kind string, name string"), spark.createDataFrame(right, "id long, kind string, name string"), spark.createDataFrame(kinds, "left_kind string, right_kind string"), least)
+        assert rows(got) == want
+
+
+def test_messages(spark):
+    df = spark.createDataFrame([("unresolved imports `a::b`, `c`",), ("use of undeclared type `Foo`",), ("failed to resolve: use of unresolved module or unlinked crate `libc`",), ("could not find `x` in `libc`",), (None,)], "m string")
+    assert [r[0] for r in df.select(T.import_root(F.col("m"))).collect()] == ["a", None, "libc", None, None]
+    texts = spark.createDataFrame([("#[test]\nfn a() {}\n  #[no_mangle]", "/a/inc/b", "inc"), (None, "/x", "")], "t string, f string, i string")
+    assert rows(texts.select(T.strip_include(F.col("f"), F.col("i")))) == [("/a",), ("/x",)]
+    assert texts.select(T.exported(F.col("t"))).first()[0] == "fn a() {}\n  #[unsafe(no_mangle)]"
+
+
 def test_packing(spark):
     df = spark.createDataFrame([(1, k, n) for k, n in enumerate([60, 50, 40, 120, 10, None])], "k long, o long, n long")
     assert [r["batch"] for r in batching.next_fit(df, "k", "o", "n", 100).orderBy("o").collect()] == [0, 1, 1, 2, 3, 3]
