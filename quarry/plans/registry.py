@@ -522,18 +522,18 @@ def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     return _streamed(spark, d, lambda s: tumbling(s, "ts", "event_type", "value", "1 day")).select(F.unix_seconds("start").alias("start"), "event_type", "n", "total")
 
 
-@query()
+@query("WITH w AS (SELECT unnest([time_bucket(INTERVAL 1 DAY, ts), time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY]) AS s, event_type, value FROM events) SELECT CAST(epoch(s) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM w WHERE s + INTERVAL 2 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL")
 def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
     from quarry.streaming.windows import sliding
 
-    return _streamed(spark, d, lambda s: sliding(s, "ts", "event_type", "value", "2 days", "1 day"))
+    return _streamed(spark, d, lambda s: sliding(s, "ts", "event_type", "value", "2 days", "1 day")).select(F.unix_seconds("start").alias("start"), "event_type", "n", "total")
 
 
-@query()
+@query("WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS first FROM events), g AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e) SELECT epoch_us(min(ts)) AS start, epoch_us(max(ts) + INTERVAL 12 HOUR) AS stop, user_id, count(*) AS n, round(sum(value), 6) AS total FROM g GROUP BY user_id, g HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     from quarry.streaming.windows import sessions
 
-    return _streamed(spark, d, lambda s: sessions(s, "ts", "user_id", "value", "12 hours"))
+    return _streamed(spark, d, lambda s: sessions(s, "ts", "user_id", "value", "12 hours")).select(F.unix_micros("start").alias("start"), F.unix_micros("end").alias("stop"), "user_id", "n", "total")
 
 
 @query()
