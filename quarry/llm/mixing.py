@@ -131,52 +131,55 @@ def _size() -> Column:
     return (F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 1).cast("long")
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with a struct column `mix`: source, block, release, deadline, slot, order, on_target.
-
-    docs: doc_id, text and source; other columns are kept. Every row stays. A null source is "", a null
-    text has size 1 like an empty one. Without weights, each source's is its bytes to a power below one,
-    which lifts small sources. Sources without a weight share OTHER's, or, if that has none either, come
-    after all others. `order` is a distinct long for each row (but for full repeats, which share neither)
-    that puts documents in mixed order; on_target tells the part in which every source still has blocks,
-    where the deviation from the weights is below one block.
-    """
+def _placed(docs: DataFrame, weights: dict[str, float] | None, power: float, block_bytes: int) -> DataFrame:
+    """(row, mix): each row of docs as one struct, whatever its columns are called, and its place."""
     spark = docs.sparkSession
-    named = _source()
-    if weights is None:
-        own, given = named, None
-    else:
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(every, _source().alias("source"), _size().alias("size"), F.xxhash64("doc_id", "text").alias("hash"), F.col("doc_id").alias("id"))
+    given = None
+    if weights is not None:
         weights = {s: float(w) for s, w in weights.items() if w > 0}
-        given = spark.createDataFrame(list(weights.items()), "_named string, weight double")
-        own = F.when(named.isin(*[s for s in weights if s != OTHER]), named).otherwise(F.lit(OTHER))
-    rows = docs.withColumn("mix", F.struct(own.alias("source"), _size().alias("size"), F.xxhash64("doc_id", "text").alias("hash")))
-    sizes = stored(rows.groupBy("mix.source").agg(F.count(F.lit(1)).alias("n"), F.sum("mix.size").alias("bytes")))
-    rows = rows.join(sizes.select(F.col("source").alias("_named"), F.ceil(F.col("n") / BUCKET_DOCS).alias("_many")), F.col("mix.source") == F.col("_named")).drop("_named")
-    rows = rows.withColumn("mix", F.struct("mix.*", F.pmod(F.shiftright("mix.hash", 20), F.col("_many")).alias("bucket"))).drop("_many")
-
-    totals = rows.groupBy("mix.source", "mix.bucket").agg(F.sum("mix.size").alias("bytes"))
+        given = spark.createDataFrame(list(weights.items()), "named string, weight double")
+        own = given.where(F.col("named") != OTHER).select(F.col("named").alias("source"), F.lit(True).alias("weighed"))
+        rows = rows.join(own, "source", "left").withColumn("source", F.when(F.col("weighed"), F.col("source")).otherwise(F.lit(OTHER))).drop("weighed")
+    sizes = stored(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")))
+    rows = rows.join(sizes.select("source", F.ceil(F.col("n") / BUCKET_DOCS).alias("many")), "source")
+    rows = rows.withColumn("bucket", F.pmod(F.shiftright("hash", 20), F.col("many"))).drop("many")
+
+    totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bytes"))
     sums = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("source", "bucket", F.coalesce(F.sum("bytes").over(sums), F.lit(0)).alias("before"), "bytes")
     if given is None:
         shares = sizes.select("source", "bytes", F.pow(F.col("bytes").cast("double"), F.lit(float(power))).alias("weight"))
     else:
-        shares = sizes.join(given, F.col("source") == F.col("_named"), "full").select(F.coalesce("source", "_named").alias("source"), "bytes", "weight")
+        shares = sizes.join(given, F.col("source") == F.col("named"), "full").select(F.coalesce("source", "named").alias("source"), "bytes", "weight")
     plan = shares.repartition(1).mapInArrow(_plan(block_bytes), PLAN)
     first, last = F.floor(F.col("before") / block_bytes), F.floor((F.col("before") + F.col("bytes") - 1) / block_bytes)
     blocks = totals.select("source", "bucket", "before", F.explode(F.sequence(first, last)).alias("block")).join(plan, ["source", "block"])
     of_bucket = F.sort_array(F.collect_list(F.struct("block", "place", "slot", "release", "deadline", "on_target")))
-    placed = blocks.groupBy("source", "bucket").agg(F.first("before").alias("_before"), of_bucket.alias("_plan")).withColumnsRenamed({"source": "_s", "bucket": "_b"})
+    placed = blocks.groupBy("source", "bucket").agg(F.first("before").alias("before"), of_bucket.alias("plan"))
+
+    local = Window.partitionBy("source", "bucket").orderBy("hash", "id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("local", F.coalesce(F.sum("size").over(local), F.lit(0))).join(placed, ["source", "bucket"], "left")
+    rows = rows.withColumn("at", F.col("before") + F.col("local")).withColumn("block", F.floor(F.col("at") / block_bytes).cast("long"))
+    rows = rows.withColumn("p", F.get("plan", (F.col("block") - F.floor(F.col("before") / block_bytes)).cast("int")))
+    order = (F.col("p.place") * block_bytes + F.col("at") % block_bytes).alias("order")
+    return rows.select("row", F.struct("source", "block", "p.release", "p.deadline", "p.slot", order, "p.on_target").alias("mix"))
 
-    local = Window.partitionBy("mix.source", "mix.bucket").orderBy("mix.hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_local", F.coalesce(F.sum("mix.size").over(local), F.lit(0)))
-    rows = rows.join(placed, (F.col("mix.source") == F.col("_s")) & (F.col("mix.bucket") == F.col("_b")), "left")
-    rows = rows.withColumn("_at", F.col("_before") + F.col("_local")).withColumn("_block", F.floor(F.col("_at") / block_bytes).cast("long"))
-    rows = rows.withColumn("_p", F.get("_plan", (F.col("_block") - F.floor(F.col("_before") / block_bytes)).cast("int")))
-    mix = F.struct(
-        F.col("mix.source").alias("source"), F.col("_block").alias("block"), F.col("_p.release").alias("release"), F.col("_p.deadline").alias("deadline"),
-        F.col("_p.slot").alias("slot"), (F.col("_p.place") * block_bytes + F.col("_at") % block_bytes).alias("order"), F.col("_p.on_target").alias("on_target"),
-    )
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c != "mix"], mix.alias("mix"))
+
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with a struct column `mix`: source, block, release, deadline, slot, order, on_target.
+
+    docs: doc_id, text and source; other columns are kept, but for one called `mix`, which is replaced.
+    Every row stays. A null source is "", a null text has size 1 like an empty one. A document is placed
+    in the block in which it begins, so a block holds a document's rest beyond its size at most. Without
+    weights, each source's is its bytes to a power below one, which lifts small sources. Sources without
+    a weight share OTHER's, or, if that has none either, come after all others. `order` is a distinct long
+    for each row (but for full repeats, which share neither) that puts documents in mixed order; on_target
+    tells the part in which every source still has blocks, where the deviation from the weights is below
+    one block.
+    """
+    return _placed(docs, weights, power, block_bytes).select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "mix"], "mix")
 
 
 def mix_table(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -187,5 +190,6 @@ def mix_table(docs: DataFrame, weights: dict[str, float] | None = None, power: f
 
 
 def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, all columns, in mixed order from file to file."""
-    return mixed(docs, weights, power, block_bytes).repartitionByRange("mix.order").sortWithinPartitions("mix.order").drop("mix")
+    """The rows of docs, all columns whatever their names, in mixed order from file to file."""
+    rows = _placed(docs, weights, power, block_bytes).repartitionByRange("mix.order").sortWithinPartitions("mix.order")
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -210,6 +210,11 @@ def test_mixing(docs, empty):
     for r in got:
         assert blocks.setdefault(r["slot"], (r["source"], r["block"])) == (r["source"], r["block"])
     assert mix_table(empty).count() == 0
+    odd = docs.selectExpr("*", "doc_id as _a", "doc_id as mix", "doc_id as _at", "doc_id as bucket", "doc_id as row", "doc_id as plan")
+    kept = in_mixed_order(odd)
+    assert kept.columns == odd.columns and sorted(map(str, kept.collect())) == sorted(map(str, odd.collect()))
+    assert mix_table(docs.union(docs)).count() == 2 * docs.count() and in_mixed_order(empty).count() == 0
+    assert slots_of({}) == {}
     assert in_mixed_order(docs).columns == docs.columns and in_mixed_order(docs).count() == docs.count()
 
 
