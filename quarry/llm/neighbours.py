@@ -31,21 +31,25 @@ BLOCK = 48
 BEAM = 400
 OPEN = 100
 NEAREST = 10
+#: Ends a packed vector of 64-bit floats.
+WIDE = b"d"
 
 
 def clean_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, node, vec): vectors that take part, as 32-bit floats; of several lengths the most common."""
-    v = F.col(vector).cast("array<float>")
+    """(vec_id, node, vec): vectors that take part, as 64-bit floats where they are such, else as 32-bit ones; of several lengths the most common."""
+    kind = "double" if df.schema[vector].dataType.simpleString() in ("array<double>", "array<bigint>", "array<int>") or "decimal" in df.schema[vector].dataType.simpleString() else "float"
+    v = F.col(vector).cast(f"array<{kind}>")
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
-    rows = rows.where("forall(v, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(v, x -> x <> 0)")
+    rows = rows.where("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
     width = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     rows = rows.where(F.size("v") == (width["n"] if width else 0))
-    rows = rows.withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x)))
+    rows = rows.withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = np.asarray(batch.column(2).flatten().to_numpy(zero_copy_only=False), "<f4").reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in raw], pa.binary())], names=["vec_id", "node", "vec"])
+            raw = np.asarray(batch.column(2).flatten().to_numpy(zero_copy_only=False), "<f4" if kind == "float" else "<f8").reshape(batch.num_rows, -1)
+            tag = b"" if kind == "float" else WIDE
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() + tag for x in raw], pa.binary())], names=["vec_id", "node", "vec"])
 
     return rows.select("vec_id", F.xxhash64("v").alias("node"), "v").mapInArrow(pack, "vec_id long, node long, vec binary")
 
@@ -72,8 +76,12 @@ def distinct_nodes(rows: DataFrame, most: int) -> DataFrame:
     return some.groupBy("node").agg(F.first("vec").alias("vec"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, most).alias("ids"))
 
 
-def _matrix(column: pa.Array, kind: str = "<f4") -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+def _matrix(column: pa.Array | list[bytes], kind: str | None = None) -> np.ndarray:
+    """Packed vectors as rows; without a kind, their own: a tag at the end tells 64-bit ones."""
+    rows = column if isinstance(column, list) else column.to_pylist()
+    if kind is None and rows and len(rows[0]) % 4:
+        kind, rows = "<f8", [x[: -len(WIDE)] for x in rows]
+    return np.frombuffer(b"".join(rows), kind or "<f4").reshape(len(rows), -1)
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -126,7 +134,7 @@ def _first_graph(nodes: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(1))
+            x = _matrix(batch.column(1)).astype(np.float32, copy=False)
             near = np.argsort(_squares(x, pivots), axis=1)[:, :2]
             for r in range(near.shape[1]):
                 yield pa.RecordBatch.from_arrays([pa.array(near[:, r] * 2 + r), pa.array(x @ line[r]), batch.column(0), pa.array([y.tobytes() for y in x.astype("<f2")], pa.binary())], names=["cell", "at", "node", "vec"])
@@ -211,12 +219,12 @@ def _local_join(graph: DataFrame, nodes: DataFrame, k: int, turn: int) -> DataFr
 def sample_pivots(nodes: DataFrame, n: int = PIVOTS) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of the lowest hashes, of fixed number: names and vectors."""
     rows = nodes.select("node", "vec").orderBy(F.xxhash64("node", F.lit(11)), "node").limit(n).collect()
-    return np.array([r["node"] for r in rows], np.int64), np.frombuffer(b"".join(bytes(r["vec"]) for r in rows), "<f4").reshape(len(rows), -1) if rows else np.zeros((0, 1), np.float32)
+    return np.array([r["node"] for r in rows], np.int64), _matrix([bytes(r["vec"]) for r in rows]) if rows else np.zeros((0, 1), np.float32)
 
 
 def neighbour_graph(nodes: DataFrame, k: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
     """(u, v, d, new): the k nearest found of each node, d a squared distance. nodes: node, vec."""
-    _, pivots = sample_pivots(nodes)
+    pivots = sample_pivots(nodes)[1].astype(np.float32)
     graph = stored(_best(_first_graph(nodes, pivots, k), k))
     total = nodes.count()
     for turn in range(rounds):
@@ -290,13 +298,14 @@ def nearest(vectors: DataFrame, every: int = 100, n: int = NEAREST, k: int = DEG
 
     vectors: vec_id long, embedding array of numbers; other columns don't matter. Null vectors, zero
     vectors and such with null or non-finite numbers take no part, nor those of another length than the
-    most common. A query's own row is no candidate; ties go to the smaller vec_id; fewer candidates give
+    most common. Rows that repeat a vec_id are candidates each, but not for that id's own query, which is
+    asked once, with the vector of the lowest hash. A query's own row is no candidate; ties go to the smaller vec_id; fewer candidates give
     fewer rows. score is the Euclidean distance in double precision.
     """
     rows = stored(clean_vectors(vectors))
     nodes = stored(distinct_nodes(rows, n + 1))
     graph = neighbour_graph(nodes, k)
-    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query"), "node", "vec").dropDuplicates(["query"])
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query")).agg(F.min(F.struct("node", "vec")).alias("one")).select("query", "one.*")
     found = search(nodes.join(asked.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("query"), "vec"), nodes, graph, n + 1)
     found = asked.select(F.col("query").alias("query_id"), F.col("node").alias("own")).join(found.withColumnRenamed("query", "own"), "own")
     found = found.join(nodes.select("node", "ids"), "node").select("query_id", F.explode("ids").alias("vec_id"), F.col("d").alias("score")).where("vec_id <> query_id")

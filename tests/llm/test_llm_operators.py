@@ -399,3 +399,20 @@ def test_pieces_against_the_tokenizer():
         cuts = np.split(ids, np.cumsum(n)[:-1]) if len(own) else []
         for t, found in zip(texts[part], cuts):
             assert found.tolist() == [*enc.tokenizer.encode(t or "", add_special_tokens=False).ids, 2], t
+
+
+def test_neighbours_of_doubles_repeats_and_none(spark):
+    """64-bit vectors are measured as they are; repeated ids and an empty table have defined results."""
+    from quarry.llm.neighbours import nearest
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 8))
+    x[50:60] = x[0] + rng.normal(size=(10, 8)) * 1e-9
+    docs = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)] + [(100, x[1].tolist(), 2)], "vec_id long, embedding array<double>, query long")
+    got = sorted((r for r in nearest(docs).collect() if r["query_id"] == 0), key=lambda r: r["rank"])
+    d = np.sqrt(((x - x[0]) ** 2).sum(1))
+    want = sorted(range(1, 150), key=lambda k: (d[k], k))[:10]
+    assert [r["vec_id"] for r in got] == want and all(r["score"] == d[r["vec_id"]] for r in got)
+    own = [r for r in nearest(docs).collect() if r["query_id"] == 100]
+    assert len(own) == 10 and all(r["vec_id"] != 100 for r in own)
+    assert nearest(docs.limit(0)).count() == 0
