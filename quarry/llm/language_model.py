@@ -113,10 +113,27 @@ class Vocabulary:
         head[top] = np.arange(len(top))
         by_key = np.argsort(keys)
         self.keys, self.counts, self.head = keys[by_key], counts[by_key], head[by_key]
+        self.bits = max(1, len(keys).bit_length())
+        self.begin = np.searchsorted(self.keys >> (64 - self.bits), np.arange(-(1 << self.bits - 1), (1 << self.bits - 1) + 1))  # keys by their first bits
         left = np.bincount(tails[top][tails[top] < TAILS], weights=counts[top][tails[top] < TAILS], minlength=TAILS), np.bincount(tails[top][tails[top] < TAILS], minlength=TAILS)
         self.tail_tokens, self.tail_types = tail_tokens - left[0], tail_types - left[1]
         self.tokens, self.types = tokens, types
 
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key stands in self.keys, -1 if it doesn't: from the first key of its first bits on."""
+        part = (keys >> (64 - self.bits)) + (1 << self.bits - 1)
+        at, end = self.begin[part], self.begin[part + 1]
+        out = np.full(len(keys), -1)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            here = at[left]
+            found = self.keys[here] == keys[left]
+            out[left[found]] = here[found]
+            left = left[~found]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
     def tokens_of(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(tokens, first, counts, keys) with an end token after each text; a count is -1 where it isn't known here."""
         n = len(words.first) - 1
@@ -134,11 +151,11 @@ class Vocabulary:
         token += self.shape.head
         count = np.full(len(keys), -1, np.int64)
         if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = self.keys[at] == keys
+            at = self.places(keys)
+            hit = at >= 0
             count[hit] = self.counts[at[hit]]
-            own = hit & (self.head[at] >= 0)
-            token[own] = self.head[at[own]]
+            head = np.where(hit, self.head[at], -1)
+            token = np.where(head >= 0, head, token)
         return token, first, count, keys
 
 

@@ -58,6 +58,11 @@ def new_weights(shape: Shape, counts: np.ndarray, seed: int = 3) -> dict[str, np
     }
 
 
+def order_of(x: np.ndarray) -> np.ndarray:
+    """A stable order of small numbers; 16 bits are sorted by digits."""
+    return np.argsort(x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x, kind="stable")
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return F32(1) / (F32(1) + np.exp(-x))
 
@@ -130,24 +135,25 @@ def run(w: dict[str, np.ndarray], s: Streams, at: np.ndarray, h: np.ndarray, kee
 
 def output(w: dict[str, np.ndarray], shape: Shape, x: np.ndarray, token: np.ndarray, gradient: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural logs of the probabilities of tokens (a tail word's: of its class) from states, and the states' gradient."""
+    # classes and words are rows and states columns, so that sums over classes run along memory
     cls = shape.class_of(token)
-    z = x @ w["Wc"]
-    z += w["bc"]
-    z -= z.max(axis=1, keepdims=True)
-    rows = np.arange(len(token))
-    logp = z[rows, cls]
+    cols = np.arange(len(token))
+    z = w["Wc"].T @ x.T
+    z += w["bc"][:, None]
+    z -= z.max(axis=0)
+    logp = z[cls, cols]
     np.exp(z, out=z)
-    total = z.sum(axis=1)
+    total = z.sum(axis=0)
     logp -= np.log(total)
     back = None
     if gradient is not None:
-        z /= total[:, None]
-        z[rows, cls] -= 1
-        back = z @ w["Wc"].T
-        gradient["Wc"] += x.T @ z
-        gradient["bc"] += z.sum(axis=0)
+        z /= total
+        z[cls, cols] -= 1
+        back = z.T @ w["Wc"].T
+        gradient["Wc"] += (z @ x).T
+        gradient["bc"] += z.sum(axis=1)
     runs = shape.runs()
-    order = np.argsort(cls, kind="stable")
+    order = order_of(cls)
     cut = np.searchsorted(cls[order], np.arange(shape.head_classes + 1))
     order = order[: cut[-1]]  # the head's words, class by class
     xs, hit, lp = x[order], token[order], np.zeros(len(order), F32)
@@ -157,20 +163,20 @@ def output(w: dict[str, np.ndarray], shape: Shape, x: np.ndarray, token: np.ndar
         own = slice(cut[c], cut[c + 1])
         if cut[c] == cut[c + 1] or b - a < 2:
             continue
-        y = xs[own] @ w["Wo"][a:b].T
-        y += w["bo"][a:b]
-        y -= y.max(axis=1, keepdims=True)
-        some, at = np.arange(len(y)), hit[own] - a
-        first = y[some, at]
+        y = w["Wo"][a:b] @ xs[own].T
+        y += w["bo"][a:b, None]
+        y -= y.max(axis=0)
+        at, some = hit[own] - a, np.arange(y.shape[1])
+        first = y[at, some]
         np.exp(y, out=y)
-        total = y.sum(axis=1)
+        total = y.sum(axis=0)
         lp[own] = first - np.log(total)
         if gradient is not None:
-            y /= total[:, None]
-            y[some, at] -= 1
-            more[own] = y @ w["Wo"][a:b]
-            gradient["Wo"][a:b] += y.T @ xs[own]
-            gradient["bo"][a:b] += y.sum(axis=0)
+            y /= total
+            y[at, some] -= 1
+            more[own] = y.T @ w["Wo"][a:b]
+            gradient["Wo"][a:b] += y @ xs[own]
+            gradient["bo"][a:b] += y.sum(axis=1)
     logp[order] += lp
     if back is not None:
         back[order] += more
@@ -193,7 +199,7 @@ def log_probability(w: dict[str, np.ndarray], shape: Shape, tokens: np.ndarray,
     return np.bincount(doc, weights=logp, minlength=len(first) - 1)
 
 
-def train(w: dict[str, np.ndarray], shape: Shape, tokens: np.ndarray, first: np.ndarray, width: int = 192, window: int = 16, rate: float = 0.03, segment: int = 256) -> dict[str, np.ndarray]:
+def train(w: dict[str, np.ndarray], shape: Shape, tokens: np.ndarray, first: np.ndarray, width: int = 384, window: int = 16, rate: float = 0.03, segment: int = 256) -> dict[str, np.ndarray]:
     """One pass of truncated backpropagation through time over documents, by Adam, in segments of long ones."""
     w = {k: x.copy() for k, x in w.items()}
     if not len(tokens):
@@ -234,7 +240,7 @@ def train(w: dict[str, np.ndarray], shape: Shape, tokens: np.ndarray, first: np.
         g["U"] += owns.T @ du
         inputs, changes = [s.before[x[0]] for x in kept], [change]
         x, dx = np.concatenate(inputs), np.concatenate(changes)
-        order = np.argsort(x, kind="stable")
+        order = order_of(x)
         x = x[order]
         begin = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
         g["E"][x[begin]] = np.add.reduceat(dx[order], begin, axis=0)
