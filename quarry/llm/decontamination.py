@@ -5,7 +5,8 @@ unit that stands in a text lies whole in a passage. A unit's score is BM25 with
 by what the unit itself would score. Retrieval is block-max WAND with a fixed threshold: units lie in
 blocks by length; a block is opened only if the largest impacts in it, of the passage's terms, can
 reach the threshold, and what is not essential (the common terms that alone cannot reach it) is looked
-up only then. All units at the threshold are retrieved; there is no top k. A retrieved item counts if
+up only then. All units at the threshold are retrieved; there is no top k. Unit counts, document
+frequencies and the mean length are those of all items, added up by Spark, however many indexes there are. A retrieved item counts if
 enough word triples of its question and of its answer stand around the passage.
 
 Words are lower-cased and without ASCII signs. The work is done for many passages at a time on arrays.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN, Words, words_of, words_of_texts
+from .common import PLAIN, U64, Words, longs, signed, stored, unique_counts, words_of, words_of_texts
 
 UNIT = 48
 BLOCK = 8
@@ -117,20 +118,37 @@ class Index:
         return row, *self._add(passage[row] * width + column, value)
 
 
-def build_index(items: list[tuple[int, str]], score: float = SCORE) -> Index:
-    """An index of a bounded number of items."""
+@dataclass
+class Statistics:
+    """Of all items: number of units, their mean length, and how many units hold each of the ascending terms."""
+
+    units: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def units_of(words: Words, k: int) -> list[np.ndarray]:
+    """A text's units: runs of at most UNIT words, about equally long."""
+    own = words.hashes[words.first[k] : words.first[k + 1]]
+    return [x for x in np.array_split(own, max(1, -(-len(own) // UNIT))) if len(x)]
+
+
+def build_index(items: list[tuple[int, str]], score: float = SCORE, of_all: Statistics | None = None) -> Index:
+    """An index of a bounded number of items; of_all: statistics of the items that these are some of, else they are all."""
     items = [(i, t) for i, t in items if t and i is not None]
     words = words_of_texts([t for _, t in items], table=PLAIN)
     units = []  # (words, item)
     for k in range(len(items)):
-        own = words.hashes[words.first[k] : words.first[k + 1]]
-        cuts = max(1, -(-len(own) // UNIT))
-        units += [(x, k) for x in np.array_split(own, cuts) if len(x)]
+        units += [(x, k) for x in units_of(words, k)]
     units.sort(key=lambda u: (len(u[0]), u[1]))
     counts = [np.unique(x, return_counts=True) for x, _ in units]
     terms, df = np.unique(np.concatenate([t for t, _ in counts]), return_counts=True) if units else (np.empty(0, np.uint64), np.empty(0))
-    idf = np.log(1 + (len(units) - df + 0.5) / (df + 0.5))
     mean = np.mean([len(x) for x, _ in units]) if units else 1.0
+    if of_all is None:
+        of_all = Statistics(len(units), float(mean), terms, df)
+    df, mean = of_all.df[np.searchsorted(of_all.terms, terms)], of_all.mean
+    idf = np.log(1 + (of_all.units - df + 0.5) / (df + 0.5))
     unit, term, impact, essential = [], [], [], []
     rest = np.zeros(-(-len(units) // BLOCK) or 1)
     for u, ((x, _), (t, tf)) in enumerate(zip(units, counts)):
@@ -196,9 +214,31 @@ def _indexes(items: DataFrame, score: float) -> Iterator[Index]:
     """Indexes of at most INDEX_ITEMS items each: by slices of their ids' hash when there are more."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     slices = -(-items.count() // (INDEX_ITEMS * 3 // 4)) or 1
+    items = items.withColumn("slice", F.pmod(F.xxhash64("item_id"), F.lit(slices)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(slice, term, units, words): units that hold a term; without a term, all units and their words."""
+        for rows, words in words_of(batches, table=PLAIN):
+            of_slice: dict[int, list[np.ndarray]] = {}
+            for k, own in enumerate(longs(rows, "slice").tolist()):
+                of_slice.setdefault(own, []).extend(units_of(words, k))
+            for own, units in of_slice.items():
+                terms, df = unique_counts(np.concatenate([np.unique(x) for x in units])) if units else (np.empty(0, U64), np.empty(0, np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(terms) + 1, own)), pa.array([None, *signed(terms).tolist()], pa.int64()), pa.array(np.r_[len(units), df]), pa.array(np.r_[sum(map(len, units)), np.zeros(len(terms), np.int64)])],
+                    names=["slice", "term", "units", "words"],
+                )
+
+    counts = items.select("text", "slice").mapInArrow(count, "slice long, term long, units long, words long")
+    counts = stored(counts.groupBy("slice", "term").agg(F.sum("units").alias("units"), F.sum("words").alias("words")))
+    total = counts.where("term is null").agg(F.coalesce(F.sum("units"), F.lit(0)).alias("units"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
+    df = counts.where("term is not null").groupBy("term").agg(F.sum("units").alias("df"))
     for k in range(slices):
-        some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k) if slices > 1 else items
-        yield build_index([(r["item_id"], r["text"]) for r in some.orderBy("item_id", "text").collect()], score)
+        own = counts.where((F.col("slice") == k) & F.col("term").isNotNull()).select("term").join(df, "term").toArrow()
+        terms = own.column("term").to_numpy().astype(np.int64).view(U64)
+        order = np.argsort(terms)
+        of_all = Statistics(total["units"], total["words"] / max(1, total["units"]), terms[order], own.column("df").to_numpy()[order])
+        yield build_index([(r["item_id"], r["text"]) for r in items.where(F.col("slice") == k).orderBy("item_id", "text").collect()], score, of_all)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, score: float = SCORE, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
