@@ -26,8 +26,6 @@ from .common import stored
 
 #: Different paragraphs of all documents that stand for the unknown class, about: those of low hashes.
 MAX_UNKNOWN = 2000
-#: A word of templates in fewer than this share of all paragraphs is rare; n-grams without any such word tell nothing and are no features.
-RARE_SHARE = 0.02
 PROBABILITY = 0.6
 TEMPLATE_SHARE = 0.4
 #: Below this share of every template a paragraph is an example of the unknown class.
@@ -144,6 +142,10 @@ def triples(text: str) -> list[str]:
     return sorted({" ".join(ws[k : k + 3]) for k in range(len(ws) - 2)}) or [" ".join(ws)]
 
 
+def template_triples() -> list[str]:
+    return sorted({g for ts in TEMPLATES.values() for t in ts for g in triples(t)})
+
+
 def template_share(family: str, found: Column) -> Column:
     """Over the family's templates the largest share of word triples that a paragraph and a template have in common, of the fewer of the two; found: grams()."""
     size = F.greatest(F.size(F.filter(found, lambda g: F.length(g) - F.length(F.replace(g, F.lit(" "))) == 2)), F.lit(1))
@@ -158,7 +160,7 @@ class LicenseModel:
     weights: list[list[float]]  # of each family, by n-gram
     bias: list[float]
     temperature: float
-    cues: list[str]  # the rarest word of each n-gram of weight
+    cues: list[str]  # the rarest word of each triple of a template; without any of these no template can confirm
 
 
 def word_shares(docs: DataFrame) -> dict[str, float]:
@@ -171,10 +173,10 @@ def word_shares(docs: DataFrame) -> dict[str, float]:
 
 
 def unlike_templates(docs: DataFrame, shares: dict[str, float], most: int = MAX_UNKNOWN) -> DataFrame:
-    """(text, ws) of different paragraphs that hold a rare word of templates but are like none: as many as `most`, about, by their hashes."""
-    rare = [w for w, s in shares.items() if w and s < RARE_SHARE]
-    bound = shares[""] * sum(shares[w] for w in rare)  # no more paragraphs than this hold one
-    rows = paragraphs(docs).where(F.arrays_overlap("ws", strings(rare)))
+    """(text, ws) of different paragraphs that hold a word of templates but are like none: as many as `most`, about, by their hashes."""
+    own = [w for w in shares if w]
+    bound = shares[""] * min(1.0, sum(shares[w] for w in own))  # no more paragraphs than this hold one
+    rows = paragraphs(docs).where(F.arrays_overlap("ws", strings(own)))
     if bound > most:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * most / bound))
     rows = stored(rows.dropDuplicates(["text"]).withColumn("at", grams(F.col("ws"))))  # written, so that each row's n-grams are made once
@@ -204,8 +206,7 @@ def learn_licenses(docs: DataFrame, most_unknown: int = MAX_UNKNOWN) -> LicenseM
     known = spark.createDataFrame(_examples(families), "label int, ws array<string>, held boolean")
     lines = unlike_templates(docs, shares, most_unknown)
     rows = known.union(lines.select(F.lit(0), "ws", F.pmod(F.xxhash64("text"), F.lit(6)) == 0))
-    rare = {w for w, s in shares.items() if s < RARE_SHARE}
-    vocabulary = sorted({g for ts in TEMPLATES.values() for t in ts for g in word_grams(words(t)) if not rare.isdisjoint(g.split())})
+    vocabulary = sorted({g for ts in TEMPLATES.values() for t in ts for g in word_grams(words(t))})
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, "at", "features")
     rows = stored(rows.select("label", "held", F.array_intersect(grams(F.col("ws")), strings(vocabulary)).alias("at")))
     rows = vectors.transform(rows).coalesce(4)
@@ -223,20 +224,21 @@ def learn_licenses(docs: DataFrame, most_unknown: int = MAX_UNKNOWN) -> LicenseM
     temperature = min((0.1, 0.18, 0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
     weights = model.coefficientMatrix.toArray().round(6)
     some = [k for k in range(len(vocabulary)) if weights[:, k].any()]
-    cues = sorted({min(vocabulary[k].split(), key=lambda w: (shares.get(w, 0.0), w)) for k in some})
+    cues = sorted({min(g.split(), key=lambda w: (shares.get(w, 0.0), w)) for g in template_triples()})
     return LicenseModel(families, [vocabulary[k] for k in some], weights[:, some].tolist(), model.interceptVector.toArray().tolist(), temperature, cues)
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel, probability: float = PROBABILITY, share: float = TEMPLATE_SHARE) -> DataFrame:
-    """(doc_id, paragraph, family, probability, template_share, confirmed, text) of every paragraph that an n-gram of weight stands in.
+    """(doc_id, paragraph, family, probability, template_share, confirmed, text) of every paragraph that has an n-gram of weight and, with some template, a word triple (or all of a shorter one) in common.
 
     docs: doc_id long, text string; other columns don't matter. paragraph counts the text's paragraphs
     from 0. family is "unknown" where that is the likeliest, where the probability is too low or no
-    template confirms. Null and empty texts, and paragraphs without any n-gram of weight, give no rows;
+    template confirms. Null and empty texts, and paragraphs without such n-grams, give no rows;
     repeated rows of docs give rows each.
     """
     vocabulary, kept = strings(model.vocabulary), ["doc_id", "paragraph", "text"]
     rows = once(paragraphs(docs).where(F.arrays_overlap("ws", strings(model.cues))).select(*kept, "ws"), "at", grams(F.col("ws")))
+    rows = rows.where(F.arrays_overlap("at", strings(template_triples())))  # no other can be confirmed
     rows = once(rows.drop("ws"), "hits", F.array_intersect("at", vocabulary)).where(F.size("hits") > 0)
     rows = once(rows, "places", F.transform("hits", lambda g: F.array_position(vocabulary, g).cast("int") - 1))
 

@@ -9,7 +9,7 @@ import pytest
 def corpus(spark):
     long = "the software was slow " * 300 + "end."
     data = [(k, f"plain words of the park and the river {k}.\nthe software of machine {k} was slow.\nReleased under the MIT License.") for k in range(150)]
-    return spark.createDataFrame(data + [(2000, long), (2001, None), (2002, ""), (2003, "no such word"), *((3000 + k, f"the dog and cat {k} in the park. " * 9) for k in range(9000))], "doc_id long, text string")
+    return spark.createDataFrame(data + [(2000, long), (2001, None), (2002, ""), (2003, "no such word")], "doc_id long, text string")
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +23,18 @@ def test_unknown_examples(corpus):
     from quarry.llm.license_scan import unlike_templates, word_shares
 
     got = {r["text"] for r in unlike_templates(corpus, word_shares(corpus)).collect()}
-    assert sum("software" in t for t in got) == 151 and len(got) < 200 and max(map(len, got)) > 6000
+    assert sum("software" in t for t in got) == 151 and len(got) == 301 and max(map(len, got)) > 6000 and not any("MIT" in t for t in got)
+
+
+@pytest.mark.parametrize("every", [1, 8, None])
+def test_a_notice_is_found_however_common_it_is(spark, every):
+    from quarry.llm.license_scan import TEMPLATES, license_table
+
+    notice = TEMPLATES["mit"][1]
+    has = lambda k: every is not None and k % every == 0
+    rows = [(k, f"plain words of the park and the river {k}.\n\n{notice if has(k) else f'they saw the {k} dogs.'}\n\nthe use of {k} things was subject to the weather.") for k in range(400)]
+    got = license_table(spark, spark.createDataFrame(rows, "doc_id long, text string")).where("family <> 'unknown'").collect()
+    assert sorted((r["doc_id"], r["paragraph"], r["family"]) for r in got) == [(k, 1, "mit") for k in range(400) if has(k)]
 
 
 def test_wrapped_notices_and_other_wordings(spark, model):
@@ -53,6 +64,8 @@ def test_odd_rows(spark, model):
     assert license_table(spark, docs.limit(0)).count() == 0
 
 
-def test_weights_are_sparse_and_cues_cover_them(model):
-    assert 0 < len(model.vocabulary) < 1500 and all(set(g.split()) & set(model.cues) for g in model.vocabulary)
+def test_weights_are_sparse_and_cues_cover_all_templates(model):
+    from quarry.llm.license_scan import template_triples
+
+    assert 0 < len(model.vocabulary) < 1500 and all(set(g.split()) & set(model.cues) for g in template_triples())
     assert all(len(w) == len(model.vocabulary) for w in model.weights) and "the" not in model.cues
