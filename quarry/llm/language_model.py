@@ -159,21 +159,37 @@ class Vocabulary:
         return token, first, count, keys
 
 
-def learn_vocabulary(counts: DataFrame) -> Vocabulary:
-    """The most frequent words, as many as KNOWN_WORDS at most: those of at least the count that keeps the bound."""
+def learn_vocabulary(counts: DataFrame, most: int = 0) -> Vocabulary:
+    """The most frequent words, `most` (KNOWN_WORDS) or all if there are fewer; the end is always one of them.
+
+    Words come by levels of their counts, sixteen to a doubling; of the level in which the bound falls,
+    those of the smallest keys. What reaches the driver besides the words are numbers of words by level,
+    and for that one level by the first 16 bits of the keys.
+    """
+    most = most or KNOWN_WORDS
     sums = counts.groupBy("tail").agg(F.sum("c").alias("tokens"), F.count(F.lit(1)).alias("types")).collect()
     tail_tokens, tail_types = np.zeros(TAILS), np.zeros(TAILS)
     for r in sums:
         if r["tail"] < TAILS:
             tail_tokens[r["tail"]], tail_types[r["tail"]] = r["tokens"], r["types"]
-    level = F.least(F.col("c"), F.lit(1 << 20))
-    steps = sorted(((r["level"], r["n"]) for r in counts.groupBy(F.floor(F.log2(level) * 16).alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
-    total, least = 0, None
+    level = F.floor(F.log2("c") * 16)
+    steps = sorted(((r["level"], r["n"]) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    total, border = 0, None
     for at, n in steps:
-        if total + n > KNOWN_WORDS:
+        if total + n > most:
+            border = at
             break
-        total, least = total + n, at
-    top = counts.where(F.floor(F.log2(level) * 16) >= (least if least is not None else 1 << 30)).toArrow()
+        total += n
+    top = counts
+    if border is not None:
+        room, part = most - total, F.shiftright("key", 48)
+        on = counts.where(level == border)
+        parts = sorted((r["part"], r["n"]) for r in on.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()) if room else []
+        reach = np.cumsum([n for _, n in parts])
+        last = parts[int(np.searchsorted(reach, room))][0] if room else 0
+        some = on.where(part <= last).orderBy("key").limit(room)
+        top = counts.where(level > border).unionByName(some).unionByName(counts.where(F.col("key") == (END & ~63 | 63))).dropDuplicates(["key"])
+    top = top.toArrow()
     column = lambda c, t: top.column(c).to_numpy().astype(t)
     return Vocabulary(column("key", np.int64), column("c", np.int64), column("tail", np.int64), tail_tokens, tail_types, int(sum(r["tokens"] for r in sums)), int(sum(r["types"] for r in sums)))
 
