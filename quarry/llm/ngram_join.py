@@ -31,8 +31,8 @@ from .common import U64, components, longs, mix, routed, sharing, signed, stored
 
 SHINGLE = 5
 PERCENT = 80
-#: Counters of the order's sketch and of the set filter; both are of fixed size.
-SKETCH_BITS = 20
+#: Counters of the order's sketch: four for a document, within these bounds; of the set filter, always as many.
+SKETCH_BITS = (20, 24)
 FILTER_BITS = 23
 #: Longs of the short parities that go along with index rows; pairs are held against the long ones afterwards.
 SHORT_PARTS = 8
@@ -82,18 +82,20 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def frequency_levels(docs: DataFrame, size: int) -> np.ndarray:
-    """Per sketch counter, how common its shingles are in all documents, as a small level.
+    """Per sketch counter, how common its shingles are in all documents, as a small level: four to a doubling, so that no count of 64 bits is too large.
 
     Each task adds up its own counters; 64 slices of them are summed by as many groups. What reaches
-    the driver has the fixed size of the sketch.
+    the driver has the size of the sketch, which follows the number of documents up to a bound.
     """
     slices = 64
-    width = (1 << SKETCH_BITS) // slices
+    low, high = SKETCH_BITS
+    bits = min(high, max(low, docs.count().bit_length() + 2))
+    width = (1 << bits) // slices
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for _, sets in shingle_sets(batches, size):
-            total += np.bincount((np.concatenate(sets) & U64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=len(total))
+            total += np.bincount((np.concatenate(sets) & U64((1 << bits) - 1)).astype(np.int64), minlength=len(total))
         if total.any():
             yield pa.RecordBatch.from_pydict({"slice": np.arange(slices), "counts": [zlib.compress(x.tobytes(), 1) for x in total.reshape(slices, width)]})
 
@@ -108,7 +110,11 @@ def frequency_levels(docs: DataFrame, size: int) -> np.ndarray:
     total = np.zeros((slices, width), np.int64)
     for row in rows:
         total[row["slice"]] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
-    return np.floor(8 * np.log2(total.reshape(-1) + 1)).astype(np.uint8)
+    return levels_of(total.reshape(-1))
+
+
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.floor(4 * np.log2(counts.astype(float) + 1)), 255).astype(np.uint8)
 
 
 # --------------------------------------------------------------------------- the join
@@ -146,7 +152,7 @@ def _prefixes(texts: DataFrame, levels, size: int, percent: int) -> DataFrame:
                 if len(seen) >= 1 << 19:
                     seen.clear()
                 seen.add(name)
-                key = level[(x & U64((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(U64) << U64(56) | x >> U64(8)
+                key = level[(x & U64(len(level) - 1)).astype(np.int64)].astype(U64) << U64(56) | x >> U64(8)
                 k = prefix_length(len(x), percent)
                 key = np.sort(np.partition(key, k - 1)[:k] if k < len(key) else key)
                 out.append((key, np.full(k, name, np.int64), np.full(k, len(x), np.int64), np.arange(k)))
@@ -225,7 +231,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                         if len(seen) >= 1 << 19:
                             seen.clear()
                         seen.add(name)
-                        out.append((name, (x >> U64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()))
+                        out.append((name, x.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], names=["node", "members"])
 
@@ -233,18 +239,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     sets = stored(sets)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def members(raw: bytes) -> np.ndarray:
-            x = np.zeros((len(raw) // 5, 8), np.uint8)
-            x[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-            return x.view(U64).reshape(-1)
-
         for batch in batches:
             a, b, keep = batch.column("in_a"), batch.column("in_b"), []
             last, x = None, None
             for k in range(batch.num_rows):
                 if (raw := a[k].as_buffer().to_pybytes()) != last:
-                    last, x = raw, members(raw)
-                y = members(b[k].as_buffer().to_pybytes())
+                    last, x = raw, np.frombuffer(raw, U64)
+                y = np.frombuffer(b[k].as_buffer().to_pybytes(), U64)
                 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     keep.append(False)
                     continue
@@ -338,5 +339,6 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
     first = sets.where("node is not null").groupBy("node").agg(best.alias("best"))
     first = first.join(named, "node").groupBy("component").agg(F.min("best").alias("best")).select("best.key")
-    kept = first.union(sets.where("node is null").select("key")).select(F.col("key").alias("__key")).distinct()
-    return docs.withColumn("__key", text_key()).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    kept = first.union(sets.where("node is null").select("key")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), text_key().alias("key"))
+    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
