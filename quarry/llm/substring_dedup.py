@@ -74,7 +74,7 @@ def _windows(window: int):
 
 
 def _shared(rows: DataFrame, make, shift: int = 0, mask: int = 0) -> DataFrame:
-    """(key, at): positions whose hashes also stand elsewhere, for each text."""
+    """(key, at): positions whose hashes also stand elsewhere, each once for each text, however many rows have it."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sharing(batches, mask):
@@ -83,7 +83,7 @@ def _shared(rows: DataFrame, make, shift: int = 0, mask: int = 0) -> DataFrame:
 
     found = rows.mapInArrow(lambda b: routed(make(b), mask), "route long, note long, owner long")
     found = found.repartition("route").sortWithinPartitions("route").mapInArrow(places, "key long, pos int")
-    return found.groupBy("key").agg(F.collect_list("pos").alias("at"))
+    return found.groupBy("key").agg(F.collect_set("pos").alias("at"))
 
 
 def _positions(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
