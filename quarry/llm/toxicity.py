@@ -265,5 +265,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_
 
 def without_toxic(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> DataFrame:
     """The rows of docs, all columns, whose score is below THRESHOLD."""
-    found = with_score(docs, learn_lexicon(docs, labels, most), "__toxicity")
-    return found.where(F.col("__toxicity.score") < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    found = with_score(rows, learn_lexicon(docs, labels, most), "found")
+    return found.where(F.col("found.score") < THRESHOLD).select("row.*")
