@@ -33,8 +33,8 @@ SYMBOL = np.zeros(256, bool)
 SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 #: A byte that isn't a later one of a code point.
 POINT = (np.arange(256) & 0xC0) != 0x80
-#: Lower case, and 0 for every digit: lines that differ in a number or a date only are one.
-NORMAL = bytes(ord("0") if 48 <= x < 58 else x + 32 if 65 <= x < 91 else x for x in range(256))
+#: Lines are alike if their words are, in lower case; numbers count, as lines of clean tables may differ in these alone.
+NORMAL = bytes(x + 32 if 65 <= x < 91 else x for x in range(256))
 
 LINES = "array<struct<high:long,low:long,words:int,line:int>>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -59,7 +59,7 @@ g AS (SELECT r, pos, string_agg(w, ' ') OVER x AS seq, count(*) OVER x AS n FROM
 a AS (SELECT r, unnest(list(pos)) AS pos FROM g WHERE n = 8 GROUP BY r, seq HAVING count(*) > 1),
 rep AS (SELECT r, count(DISTINCT pos + k) AS n_repeat_words FROM a, range(8) AS t(k) GROUP BY r),
 l AS (SELECT r, source, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d),
-k AS (SELECT r, source, text, line, array_to_string(regexp_extract_all(regexp_replace({_FOLD.format("line")}, '[0-9]', '0', 'g'), '{_WORD}'), ' ') AS norm, len(regexp_extract_all(line, '{_WORD}')) AS n FROM l),
+k AS (SELECT r, source, text, line, array_to_string(regexp_extract_all({_FOLD.format("line")}, '{_WORD}'), ' ') AS norm, len(regexp_extract_all(line, '{_WORD}')) AS n FROM l),
 m AS (SELECT source, norm, count(DISTINCT text) AS texts FROM k WHERE n > 0 GROUP BY source, norm HAVING texts > 10),
 x AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM k WHERE n > 0 GROUP BY r),
 y AS (SELECT r, sum(n) AS gone, count(*) AS n_lines_removed FROM k JOIN m ON k.norm = m.norm AND k.source IS NOT DISTINCT FROM m.source WHERE n > 0 GROUP BY r),

@@ -8,7 +8,7 @@ SCHEMA = "doc_id long, text string, source string"
 
 
 def normal(line):
-    fold = lambda c: chr(ord(c) + 32) if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else c
+    fold = lambda c: chr(ord(c) + 32) if "A" <= c <= "Z" else c
     return " ".join(WORD.findall("".join(map(fold, line))))
 
 
@@ -49,7 +49,7 @@ def prose(k, n=40):
 
 
 def site(k, host):
-    menu = "Home | About | Contact us\nCopyright 20%02d by nobody" % (k % 30)
+    menu = "Home | About | Contact us\n%s by nobody" % ("Copyright" if k % 2 else " COPYRIGHT ")
     return (k, f"{menu}\n{prose(k) if k % 3 else prose(k, 12)}\n{prose(k + 10**6, 9)}", host)
 
 

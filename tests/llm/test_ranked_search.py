@@ -50,11 +50,11 @@ def words(rng, n, most=300):
 
 def test_many_documents(spark):
     rng = np.random.default_rng(3)
-    docs = [(k, words(rng, rng.integers(1, 120))) for k in range(1500)]
+    docs = [(k, words(rng, rng.integers(1, 120))) for k in range(800)]
     docs += [(5000 + k, docs[7][1]) for k in range(30)]  # ties
     items = [(k, words(rng, 25)) for k in range(25)] + [(99, docs[7][1])]
     same(spark, docs, items)
-    same(spark, docs, items, item_bytes=200)  # several passes
+    same(spark, docs, items, item_bytes=1000)  # several passes
 
 
 def test_nulls_repeats_long_and_strange_texts(spark):
