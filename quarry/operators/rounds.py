@@ -39,8 +39,10 @@ def places(rows: DataFrame, group: list[str], order: list[str], name: str = "pla
     ranged = stored(spread.repartitionByRange(parts, *group, *order, "_luck").withColumn("_part", F.spark_partition_id()))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranged.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    sizes = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in [*group, "_part"]], "_before")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*group, "_part"]]  # a null group is one too
     own = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order, "_luck")) - 1
-    return ranged.withColumn("_own", own).join(sizes, [*group, "_part"]).withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_before", "_own", "_part", "_luck")
+    return ranged.withColumn("_own", own).join(sizes, same, "inner").drop(*[f"_of_{c}" for c in [*group, "_part"]]).withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_before", "_own", "_part", "_luck")
 
 
 def fixpoint(items: DataFrame, step: Callable[[DataFrame, int], DataFrame], done: Column, most_rounds: int) -> DataFrame:

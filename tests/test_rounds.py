@@ -189,6 +189,7 @@ def test_places_of_a_large_group_of_equal_rows(spark):
 
     rows = spark.createDataFrame([("a", 5)] * 300 + [("a", k) for k in range(10)] + [("b", 1), (None, 2), (None, 1)], "g string, x int")
     got = [tuple(r) for r in places(rows, ["g"], ["x"]).collect()]
+    assert len(got) == 313
     for g in ("a", "b", None):
         mine = sorted((p, x) for h, x, p in got if h == g)
         assert [p for p, _ in mine] == list(range(len(mine))) and [x for _, x in mine] == sorted(x for _, x in mine)
