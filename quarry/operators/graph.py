@@ -154,3 +154,25 @@ def one_end_in(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     c = chosen.select("node").distinct()
     a, b = (c.select(F.col("node").alias(x), F.lit(True).alias(f"_{x}")) for x in ("src", "dst"))
     return edges.join(a, "src", "left").join(b, "dst", "left").where(F.col("_src").isNull() != F.col("_dst").isNull()).select(*edges.columns)
+
+
+def segment_graph(facts: list[DataFrame], segments: DataFrame, mains: DataFrame | None = None) -> DataFrame:
+    """(src, dst): distinct edges between segments, from facts of any number of kinds.
+
+    facts: src and dst, locations as text; segments: file, ss, se, segment (the lowest of several that
+    contain a location is the one meant); mains: file. Each distinct location is parsed and looked up once.
+    Facts of which an end can't be parsed, names no file or lies in no segment give no edge; edges between
+    two different files that both have a main are left out, and so are loops.
+    """
+    from functools import reduce
+
+    from quarry.functions import text as T
+    from quarry.operators.intervals import lookup_first
+
+    every = reduce(lambda a, b: a.union(b), [f.select("src", "dst") for f in facts]).where("src is not null and dst is not null").distinct()
+    ends = every.select(F.explode(F.array("src", "dst")).alias("place")).distinct().withColumn("at", T.location(F.col("place")))
+    ends = ends.where("at is not null").select("place", "at.file", F.col("at.start_line").alias("ps"), F.col("at.end_line").alias("pe")).where("ps is not null and pe is not null")
+    found = lookup_first(ends, segments.select("file", "ss", "se", "segment"), "place", "segment").where("segment is not null").select("place", "file", "segment")
+    a, b = (found.select(F.col("place").alias(c), F.col("file").alias(f"{c}_file"), F.col("segment").alias(f"{c}_segment")) for c in ("src", "dst"))
+    met = every.join(a, "src").join(b, "dst").select(F.col("src_segment").alias("src"), F.col("dst_segment").alias("dst"), "src_file", "dst_file")
+    return clean_edges(met if mains is None else between_mains(met, mains))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,16 +17,28 @@ def maximal_intervals(df: DataFrame, key: str = "file", start: str = "start", en
     return rows.withColumn("_reach", F.max(end).over(order)).where("_reach is null or _reach < `%s`" % end).drop("_reach")
 
 
+def _classes(start: Column, end: Column, width: int) -> tuple[Column, Column]:
+    """The size class of an interval and the width of its bins: `width`, eight times that, and so on, the first that isn't shorter."""
+    size = F.greatest(end - start + 1, F.lit(1)).cast("double")
+    level = F.greatest(F.ceil(F.log(size / width) / F.log(F.lit(8.0)) - 1e-9), F.lit(0)).cast("int")
+    return level, F.call_function("shiftleft", F.lit(width).cast("long"), (level * 3).cast("int"))
+
+
 def containment_join(probes: DataFrame, segments: DataFrame, key: str = "file", width: int = 64, how: str = "inner") -> DataFrame:
     """Probes (key, ps, pe) with the segments (key, ss, se) that contain them.
 
-    Segments stand in every bin of `width` that they touch, probes in the bin of their start only, so the
-    join is on key and bin, and a long list of one key is split up.
+    A segment stands in the bins that it touches among those of its own length: two or three rows, however
+    long it is. A probe stands in the bin of its start, once for each length of bins that some segment has,
+    at most a dozen. So the join is on key, length and bin, and a long list of one key is split up. With
+    how="left" a probe may come without a segment beside its rows with one.
     """
-    binned = segments.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("ss") / width), F.floor(F.col("se") / width))))
-    at = probes.withColumn("_bin", F.floor(F.col("ps") / width))
-    s = binned.select(F.col(key).alias("_key"), F.col("_bin").alias("_sbin"), *[c for c in segments.columns if c != key])
-    return at.join(s, (F.col(key) == F.col("_key")) & (F.col("_bin") == F.col("_sbin")) & (F.col("ss") <= F.col("ps")) & (F.col("pe") <= F.col("se")), how).drop("_bin", "_key", "_sbin")
+    level, size = _classes(F.col("ss"), F.col("se"), width)
+    binned = segments.where("ss is not null and se is not null").withColumn("_slevel", level).withColumn("_sbin", F.explode(F.sequence(F.floor(F.col("ss") / size), F.floor(F.greatest("ss", "se") / size))))
+    levels = segments.where("ss is not null and se is not null").select(level.alias("_level")).union(segments.sparkSession.range(1).select(F.col("id").cast("int"))).distinct()
+    at = probes.crossJoin(F.broadcast(levels)).withColumn("_bin", F.floor(F.col("ps") / F.call_function("shiftleft", F.lit(width).cast("long"), (F.col("_level") * 3).cast("int"))))  # a dozen lengths at most
+    s = binned.select(F.col(key).alias("_key"), "_sbin", "_slevel", *[c for c in segments.columns if c != key])
+    within = (F.col(key) == F.col("_key")) & (F.col("_level") == F.col("_slevel")) & (F.col("_bin") == F.col("_sbin")) & (F.col("ss") <= F.col("ps")) & (F.col("pe") <= F.col("se"))
+    return at.join(s, within, how).drop("_bin", "_level", "_key", "_sbin", "_slevel")
 
 
 def lookup_first(probes: DataFrame, segments: DataFrame, probe: str, ordinal: str, key: str = "file", width: int = 64) -> DataFrame:

@@ -61,7 +61,7 @@ def bounded_fixpoint(spark: SparkSession, d: str) -> DataFrame:
     return rounds.fixpoint(pairs, step, F.col("b") == 0, 5).select("o_orderkey", "a", "rounds", "unresolved")
 
 
-COMPONENTS = f"{SCC}, lab AS (SELECT node, coalesce(scc, node) AS scc FROM scc), dag AS (SELECT DISTINCT a.scc AS src, b.scc AS dst FROM ed JOIN lab a ON a.node = ed.src JOIN lab b ON b.node = ed.dst WHERE a.scc <> b.scc), walk AS (SELECT DISTINCT scc AS node, scc AS at, 0 AS n FROM lab UNION ALL SELECT walk.node, dag.dst, n + 1 FROM walk JOIN dag ON walk.at = dag.src)"
+COMPONENTS = f"{SCC}, lab AS (SELECT node, coalesce(scc, node) AS scc FROM scc), dag AS (SELECT DISTINCT a.scc AS src, b.scc AS dst FROM ed JOIN lab a ON a.node = ed.src JOIN lab b ON b.node = ed.dst WHERE a.scc <> b.scc), walk AS (SELECT DISTINCT scc AS node, scc AS v, 0 AS n FROM lab UNION ALL SELECT walk.node, dag.dst, n + 1 FROM walk JOIN dag ON walk.v = dag.src)"
 
 
 @query(f"{COMPONENTS} SELECT lab.node, scc, max(n)::BIGINT AS layer FROM lab JOIN walk ON walk.node = lab.scc GROUP BY ALL")
@@ -69,6 +69,6 @@ def component_layers(spark: SparkSession, d: str) -> DataFrame:
     return contraction.layers(_edges(spark, d))
 
 
-@query(f"{COMPONENTS}, bad AS (SELECT scc FROM lab GROUP BY scc HAVING count(*) > 1) SELECT node, max(n)::BIGINT AS level FROM walk GROUP BY node HAVING count(*) FILTER (at IN (SELECT scc FROM bad)) = 0")
+@query(f"{COMPONENTS}, bad AS (SELECT scc FROM lab GROUP BY scc HAVING count(*) > 1) SELECT node, max(n)::BIGINT AS level FROM walk GROUP BY node HAVING count(*) FILTER (v IN (SELECT scc FROM bad)) = 0")
 def levels_before_cycles(spark: SparkSession, d: str) -> DataFrame:
     return contraction.levels_before_cycles(_edges(spark, d))
