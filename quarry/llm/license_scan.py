@@ -18,6 +18,8 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ from .common import stored
 
 #: Different paragraphs of all documents that stand for the unknown class, about: those of low hashes.
 MAX_UNKNOWN = 2000
+#: Triples of templates all of whose words stand in more than this share of paragraphs are looked for as phrases, the others by their rarest word first: a matter of time alone.
+COMMON_SHARE = 0.02
 PROBABILITY = 0.6
 TEMPLATE_SHARE = 0.4
 #: Below this share of every template a paragraph is an example of the unknown class.
@@ -160,7 +164,8 @@ class LicenseModel:
     weights: list[list[float]]  # of each family, by n-gram
     bias: list[float]
     temperature: float
-    cues: list[str]  # the rarest word of each triple of a template; without any of these no template can confirm
+    cues: list[str]  # the rarest word of each triple of a template, if that is rare
+    phrases: list[str]  # the other triples; without any cue or phrase no template can confirm
 
 
 def word_shares(docs: DataFrame) -> dict[str, float]:
@@ -224,8 +229,10 @@ def learn_licenses(docs: DataFrame, most_unknown: int = MAX_UNKNOWN) -> LicenseM
     temperature = min((0.1, 0.18, 0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
     weights = model.coefficientMatrix.toArray().round(6)
     some = [k for k in range(len(vocabulary)) if weights[:, k].any()]
-    cues = sorted({min(g.split(), key=lambda w: (shares.get(w, 0.0), w)) for g in template_triples()})
-    return LicenseModel(families, [vocabulary[k] for k in some], weights[:, some].tolist(), model.interceptVector.toArray().tolist(), temperature, cues)
+    rarest = {g: min(g.split(), key=lambda w: (shares.get(w, 0.0), w)) for g in template_triples()}
+    phrases = [g for g, w in rarest.items() if shares.get(w, 0.0) > COMMON_SHARE]
+    cues = sorted({w for g, w in rarest.items() if g not in phrases})
+    return LicenseModel(families, [vocabulary[k] for k in some], weights[:, some].tolist(), model.interceptVector.toArray().tolist(), temperature, cues, phrases)
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel, probability: float = PROBABILITY, share: float = TEMPLATE_SHARE) -> DataFrame:
@@ -237,7 +244,11 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, probability: float = PRO
     repeated rows of docs give rows each.
     """
     vocabulary, kept = strings(model.vocabulary), ["doc_id", "paragraph", "text"]
-    rows = once(paragraphs(docs).where(F.arrays_overlap("ws", strings(model.cues))).select(*kept, "ws"), "at", grams(F.col("ws")))
+    may = F.arrays_overlap("ws", strings(model.cues)) if model.cues else F.lit(False)
+    if model.phrases:
+        line = F.concat(F.lit(" "), F.array_join("ws", " "), F.lit(" "))
+        may = may | F.exists(F.array(line), lambda x: reduce(or_, [F.contains(x, F.lit(f" {g} ")) for g in model.phrases]))
+    rows = once(paragraphs(docs).where(may).select(*kept, "ws"), "at", grams(F.col("ws")))
     rows = rows.where(F.arrays_overlap("at", strings(template_triples())))  # no other can be confirmed
     rows = once(rows.drop("ws"), "hits", F.array_intersect("at", vocabulary)).where(F.size("hits") > 0)
     rows = once(rows, "places", F.transform("hits", lambda g: F.array_position(vocabulary, g).cast("int") - 1))
