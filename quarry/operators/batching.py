@@ -61,3 +61,75 @@ def first_fit(df: DataFrame, key: str, order: str, size: str, budget: int) -> Da
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.int64())], names=[*rows.schema.names, "batch"])
 
     return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(pack, f"`{key}` long, `{order}` long, `{size}` long, batch long")
+
+
+class Room:
+    """The first place, from some place on, whose size is below a bound: a tree of least sizes over the places, log n steps each."""
+
+    def __init__(self, sizes: list[int]):
+        self.width = 1 << max(len(sizes) - 1, 0).bit_length()
+        none = float("inf")
+        self.least = [none] * self.width + [*sizes, *[none] * (self.width - len(sizes))]
+        for k in range(self.width - 1, 0, -1):
+            self.least[k] = min(self.least[2 * k], self.least[2 * k + 1])
+
+    def take(self, at: int) -> None:
+        k = at + self.width
+        self.least[k] = float("inf")
+        while k > 1:
+            k //= 2
+            self.least[k] = min(self.least[2 * k], self.least[2 * k + 1])
+
+    def first(self, start: int, bound: float) -> int | None:
+        """The first place from `start` on whose size is below the bound."""
+        k = start + self.width
+        if start >= self.width:
+            return None
+        while not self.least[k] < bound:  # up, to the next tree on the right
+            while k & 1:
+                k //= 2
+            if not k:
+                return None
+            k += 1
+        while k < self.width:
+            k = 2 * k if self.least[2 * k] < bound else 2 * k + 1
+        return k - self.width
+
+
+def pack_leaves(sizes: list[int], budget: int) -> list[int]:
+    """The batch of each leaf, in order: a batch opens with the first leaf left, at no charge, then takes every later leaf whose size is below what is left of the budget."""
+    tree, batch, out = Room(sizes), 0, [0] * len(sizes)
+    while (at := tree.first(0, float("inf"))) is not None:
+        left = budget
+        tree.take(at)
+        out[at] = batch
+        while (at := tree.first(at + 1, left)) is not None:  # what did not fit before fits no more
+            tree.take(at)
+            out[at] = batch
+            left -= sizes[at]
+        batch += 1
+    return out
+
+
+def first_fit_layers(nodes: DataFrame, edges: DataFrame, budget: int, key: str = "key") -> DataFrame:
+    """(key, scc, layer, batch): components in batches, each after all that it depends on.
+
+    nodes: key, node, size (null is 0); edges: src, dst, src depends on dst. A component has its nodes' key
+    (the lowest, if they differ) and their sizes together. Components whose dependencies all lie in earlier
+    layers are released together; those of one key and layer are packed by pack_leaves in the order of
+    their names. Within a key and layer that is sequential, with a tree in place of a search of all that
+    is left; keys and layers are packed side by side, and only one group's sizes are held.
+    """
+    from quarry.operators.contraction import layers
+    from quarry.operators.rounds import stored
+
+    found = layers(edges, nodes.select("node"))
+    items = found.join(nodes.groupBy("node").agg(F.min(key).alias(key), F.max(F.coalesce("size", F.lit(0))).alias("size")), "node", "left")
+    items = stored(items.groupBy("scc").agg(F.min(key).alias(key), F.first("layer").alias("layer"), F.sum(F.coalesce("size", F.lit(0))).cast("long").alias("size")))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("scc")
+        return rows.select([key, "scc", "layer"]).append_column("batch", pa.array(pack_leaves(rows.column("size").to_pylist(), budget), pa.int64()))
+
+    kind = dict(items.dtypes)
+    return items.select(key, "scc", "layer", "size").groupBy(key, "layer").applyInArrow(pack, f"`{key}` {kind[key]}, scc {kind['scc']}, layer long, batch long")
