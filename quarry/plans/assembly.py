@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import cascade, graph, intervals
-from quarry.plans.registry import INTERVALS, _intervals, query
+from quarry.operators import batching, cascade, graph, intervals, labels, rounds, workspace
+from quarry.plans.procedures import COMPONENTS
+from quarry.plans.registry import INTERVALS, _edges, _intervals, query
 from quarry.sources.tables import table
 
 DAY = "date_diff('day', DATE '1990-01-01', CAST({} AS DATE))"
@@ -115,3 +116,73 @@ def _sql() -> str:
 def rule_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Declarations of nine kinds matched to counterparts by the rules of their kinds."""
     return cascade.match(*_declared(spark, d))
+
+
+# --------------------------------------------------------------------------- packing, trees, versions
+
+
+def _walk(budget: int) -> str:
+    return f"""{COMPONENTS}, size AS (SELECT scc, min(p_size % 3) AS key, sum(p_size)::BIGINT AS size FROM lab JOIN part ON p_partkey = node GROUP BY scc),
+level AS (SELECT node AS scc, max(n)::BIGINT AS layer FROM walk GROUP BY node),
+item AS (SELECT key, scc, layer, coalesce(size, 0) AS size, row_number() OVER (PARTITION BY key, layer ORDER BY scc) AS i, count(*) OVER (PARTITION BY key, layer) AS total FROM level LEFT JOIN size USING (scc)),
+groups AS (SELECT key, layer, list(scc ORDER BY i) AS names, list(size ORDER BY i) AS sizes FROM item GROUP BY key, layer),
+scan AS (
+    SELECT key, layer, sizes, list_transform(sizes, lambda s: -1::BIGINT) AS batch, 1 AS i, 0::BIGINT AS b, -1::BIGINT AS room, len(sizes) AS n FROM groups
+    UNION ALL
+    SELECT key, layer, sizes,
+        CASE WHEN i <= n AND batch[i] < 0 AND (room < 0 OR sizes[i] < room) THEN list_concat(batch[1:i - 1], [b], batch[i + 1:]) ELSE batch END,
+        CASE WHEN i > n THEN 1 ELSE i + 1 END, CASE WHEN i > n THEN b + 1 ELSE b END,
+        CASE WHEN i > n THEN -1 WHEN batch[i] >= 0 THEN room WHEN room < 0 THEN {budget} WHEN sizes[i] < room THEN room - sizes[i] ELSE room END, n
+    FROM scan WHERE i <= n OR list_contains(batch, -1)
+), done AS (SELECT key, layer, batch FROM scan WHERE i = n + 1 AND NOT list_contains(batch, -1))
+SELECT g.key, unnest(names) AS scc, g.layer, unnest(batch) AS batch FROM groups g JOIN done d ON g.key IS NOT DISTINCT FROM d.key AND g.layer = d.layer"""
+
+
+@query(_walk(60))
+def packed_layers(spark: SparkSession, d: str) -> DataFrame:
+    """Components of parts in batches: after what they depend on, within a budget, the first that fits first."""
+    parts = table(spark, d, "part").select((F.col("p_size") % 3).alias("key"), F.col("p_partkey").cast("long").alias("node"), F.col("p_size").alias("size"))
+    return batching.first_fit_layers(parts, _edges(spark, d), 60)
+
+
+def _order_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as pieces, with their lines in them: whole ones, such as can be cut, and imports."""
+    kind = F.when(F.col("o_orderstatus") == "F", "struct").when(F.col("o_orderstatus") == "O", "impl").otherwise("use")
+    name = lambda c: F.col(c).cast("string")
+    o = table(spark, d, "orders").select((F.col("o_custkey") % 97).alias("doc_id"), F.array(name("o_orderkey")).alias("path"), kind.alias("kind"), F.col("o_orderkey").alias("k"), F.lit(0).alias("line"), F.lit("").alias("flag"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag")).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    items = lines.select((F.col("o_custkey") % 97).alias("doc_id"), F.array(name("l_orderkey"), name("l_linenumber")).alias("path"), F.lit("fn").alias("kind"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), "flag")
+    return o.union(items)
+
+
+@query(
+    "WITH li AS (SELECT l_orderkey AS k, l_linenumber AS line, min(l_returnflag) AS flag, any_value(o_orderstatus) AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), m AS (SELECT * FROM li WHERE flag = 'R' AND k % 3 = 0), u AS (SELECT * FROM li WHERE flag = 'A' AND k % 5 = 0), "
+    "o AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders) "
+    "SELECT k, 0 AS line, 'shown' AS part FROM o WHERE s = 'P' OR k IN (SELECT k FROM m) UNION ALL SELECT k, line, 'shown' FROM li WHERE s = 'P' OR (s = 'F' AND k IN (SELECT k FROM m)) OR (s = 'O' AND flag = 'R' AND k % 3 = 0) "
+    "UNION ALL SELECT k, 0, 'signed' FROM o WHERE k IN (SELECT k FROM u) UNION ALL SELECT k, line, 'signed' FROM li WHERE (s = 'F' AND k IN (SELECT k FROM u)) OR (flag = 'A' AND k % 5 = 0)"
+)
+def context_assembly(spark: SparkSession, d: str) -> DataFrame:
+    """What to show and what to sign of all documents, when some of their pieces are worked on and others are used."""
+    labels_of = labels.labelled(_order_trees(spark, d))
+    matched, used = labels_of.where("flag = 'R' and k % 3 = 0"), labels_of.where("flag = 'A' and k % 5 = 0")
+    shown, signed = labels.context(labels_of, matched, used, ["impl"], ["struct"])
+    return shown.select("k", "line", F.lit("shown").alias("part")).union(signed.select("k", "line", F.lit("signed").alias("part")))
+
+
+@query(
+    "WITH r AS (SELECT date_part('year', l_shipdate) AS version, 's' || l_suppkey AS segment, 'p' || (l_partkey % 200) AS piece, l_comment AS text, l_orderkey * 10 + l_linenumber AS ord, l_suppkey % 7 = CAST(date_part('year', l_shipdate) AS INT) % 7 AS evicted FROM (SELECT *, l_returnflag || l_orderkey AS l_comment FROM lineitem)), "
+    "g AS (SELECT * FROM r WHERE NOT evicted), f AS (SELECT segment, piece FROM g QUALIFY version = max(version) OVER (PARTITION BY segment)), c AS (SELECT piece, text, version FROM g QUALIFY row_number() OVER (PARTITION BY piece ORDER BY version DESC, ord DESC, text DESC) = 1) "
+    "SELECT piece, text, version::BIGINT AS version, (SELECT count(DISTINCT segment) FROM g WHERE g.piece = c.piece) AS brought, (SELECT count(DISTINCT segment) FROM f WHERE f.piece = c.piece) AS current FROM c"
+)
+def workspace_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Each piece as of the last version, with how many segments brought it ever, and how many have it now; pushes are appended and read again."""
+    year = F.year("l_shipdate").cast("long")
+    lines = table(spark, d, "lineitem")
+    pushes = lines.select(year.alias("version"), F.concat(F.lit("s"), "l_suppkey").alias("segment"), F.concat(F.lit("p"), (F.col("l_partkey") % 200).cast("string")).alias("piece"), F.concat("l_returnflag", F.col("l_orderkey").cast("string")).alias("text"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    allowed = pushes.select("version", "segment").distinct().where(F.substring("segment", 2, 20).cast("long") % 7 != F.col("version") % 7)
+    path = rounds.shared_dir(spark)
+    workspace.append(path, pushes, allowed)
+    rows = workspace.read(spark, path)
+    brought = workspace.back(rows).select("piece", F.size("segments").cast("long").alias("brought"))
+    current = workspace.forward(rows).groupBy("piece").agg(F.count(F.lit(1)).alias("current"))
+    return workspace.code(rows).select("piece", "text", "version").join(brought, "piece", "left").join(current, "piece", "left").select("piece", "text", "version", F.coalesce("brought", F.lit(0)).alias("brought"), F.coalesce("current", F.lit(0)).alias("current"))
