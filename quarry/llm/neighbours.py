@@ -7,8 +7,8 @@ it is a neighbour of, where one at least is new since the last round; pairs near
 go to its list. A node brings together at most 2 K others, chosen by hash: that's the method's sampling,
 and bounds each task's work for hubs. Rounds end when few lists change.
 
-Where vectors lie in clusters far apart, the graph falls into pieces. So a query starts at its own node as
-well as at its nearest pivots, and each piece's first node is linked with the pivots nearest to it. In each hop the nearest nodes of its beam that weren't opened yet
+Where vectors lie in clusters far apart, the graph falls into pieces, of which the pivots know a part only.
+So a query starts at its own node as well as at its nearest pivots. In each hop the nearest nodes of its beam that weren't opened yet
 give their graph neighbours, by joins with the graph and the vectors, until none is left to open.
 Distances on the way are of 16-bit copies while the graph is built; in the search they are exact.
 """
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import stored
 
 DEGREE = 26
 ROUNDS = 8
@@ -236,30 +236,13 @@ def neighbour_graph(nodes: DataFrame, k: int = DEGREE, rounds: int = ROUNDS) ->
     return graph
 
 
-def _entries(links: DataFrame, nodes: DataFrame, names: np.ndarray, pivots: np.ndarray, each: int = 2) -> DataFrame:
-    """(u, v): links, both ways, of the first node of each connected piece of the graph with the pivots nearest to it; a node without links is a piece."""
-    found = components(links, "u", "v")
-    first = nodes.select("node").join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("node").alias("node"))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            best = np.argsort(_squares(_matrix(batch.column(1)).astype(np.float32), pivots.astype(np.float32)), axis=1)[:, :each]
-            u = np.repeat(batch.column(0).to_numpy(), best.shape[1])
-            v = names[best].ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[u, v]), pa.array(np.r_[v, u])], names=["u", "v"])
-
-    return first.join(nodes.select("node", "vec"), "node").select("node", "vec").mapInArrow(near, "u long, v long").where("u <> v")
-
-
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, n: int, beam: int = BEAM, opened: int = OPEN) -> DataFrame:
     """(query, node, d): the n nearest nodes found of each query, d the exact distance.
 
     queries: query, vec; a query that is named as a node starts there too.
     """
     names, pivots = sample_pivots(nodes)
-    links = graph.select("u", "v").union(graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    links = stored(links)
-    links = stored(links.union(_entries(links, nodes, names, pivots)).distinct())
+    links = stored(graph.select("u", "v").union(graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
