@@ -140,3 +140,37 @@ def error_kind(message: Column, located: Column, outside: Column) -> Column:
     crate = message.contains("crate") | message.contains("failed to resolve") | message.contains("unresolved import")
     inter = message.rlike("^cannot find .* in this scope") | message.rlike("^no .* found for .* in the current scope") | message.rlike("^.* call to .* function .*")
     return F.when(located > 1, "inter_unit").when(outside | crate, "external_crate").when(inter, "inter_unit").otherwise("intra_unit")
+
+
+def is_test(names: Column) -> Column:
+    """Whether some declared name begins with test_."""
+    return F.exists(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.coalesce(n.startswith("test_"), F.lit(False)))
+
+
+def is_typedef(kind: Column) -> Column:
+    return kind == "CTypedefType"
+
+
+def is_function(kind: Column) -> Column:
+    return kind.endswith("Function")
+
+
+def own_import(text: Column) -> Column:
+    """Whether a piece imports from its own crate, which goes when pieces are put in normal form."""
+    return F.coalesce(F.ltrim(text).startswith("use crate::"), F.lit(False))
+
+
+def fenced_bodies(text: Column) -> Column:
+    """The trimmed bodies of blocks from fence to next fence, wherever on a line these stand."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?s)```[a-zA-Z]*(.*?)```"), F.lit(1)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+
+
+def wrapped(kind: Column, name: Column, body: Column) -> Column:
+    """A container's text: a head by its kind, its items, a tail; an enum's and a struct's items end in commas."""
+    head = F.when(kind == "impl", F.concat(F.lit("impl "), name, F.lit(" {"))).when(kind == "struct", F.concat(F.lit("struct "), name, F.lit(" {"))).when(kind == "enum", F.concat(F.lit("enum "), name, F.lit(" {")))
+    return F.when(head.isNotNull(), F.concat_ws("\n", head, body, F.lit("}"))).otherwise(body)
+
+
+def separator(kind: Column) -> Column:
+    """What stands between a container's items."""
+    return F.when(kind.isin("struct", "enum"), ",\n").otherwise("\n")

@@ -38,6 +38,28 @@ def unfolded(span: Column, depth: int) -> Column:
     return F.concat(F.filter(F.array(*sites), lambda s: s.isNotNull()), F.array(inner))
 
 
+def cut_off(span: Column, depth: int) -> Column:
+    """Whether a span's chain goes on beyond `depth` expansions, so that unfolded() leaves some out."""
+    for _ in range(depth):
+        span = span["expansion"]["span"]
+    return span["expansion"].isNotNull()
+
+
+def pieces_of_messages(fragments: DataFrame, messages: DataFrame, doc: str) -> DataFrame:
+    """(doc, message, piece): pieces whose lines hold a message's place; fragments: doc, piece, start_line, end_line as intervals.line_ranges makes them; messages: doc, message, line_start, line_end."""
+    probes = messages.select(F.col(doc).alias("file"), "message", F.col("line_start").alias("ps"), F.col("line_end").alias("pe"))
+    ranges = fragments.select(F.col(doc).alias("file"), "piece", F.col("start_line").alias("ss"), F.col("end_line").alias("se"))
+    return containment_join(probes, ranges).select(F.col("file").alias(doc), "message", "piece").distinct()
+
+
+def per_build(messages: DataFrame, build: str, msg: str, spans: str, units: DataFrame, file: str = "src/lib.rs") -> DataFrame:
+    """(build, messages, places, units): each build's messages, distinct places (file and lines) of them, and distinct units in which one lies."""
+    places = messages.select(build, F.explode(spans).alias("s")).groupBy(build).agg(F.countDistinct("s.file_name", "s.line_start", "s.line_end").alias("places"))
+    hit = located(messages, units, build, msg, spans, file).groupBy(build).agg(F.countDistinct("unit").alias("units"))
+    count = messages.groupBy(build).agg(F.count(F.lit(1)).alias("messages"))
+    return count.join(places, build, "left").join(hit, build, "left").select(build, "messages", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("places", "units")])
+
+
 def not_before(spans: Column, line: Column) -> Column:
     """Whether some span ends at the line or later; no spans, no."""
     return F.exists(F.coalesce(spans, F.array().cast("array<struct<line_end:int>>")), lambda s: s["line_end"] >= line)

@@ -571,4 +571,4 @@ def _rate_pivot(spark: SparkSession, d: str, orders: DataFrame) -> DataFrame:
     return counts.select(F.col("file").alias("build"), "external", "inter", "intra", F.round(F.col("inter") / F.greatest(total, F.lit(1)), 8).alias("inter_rate"))
 
 
-from quarry.plans import assembly, facts, procedures  # noqa: E402, F401  add their queries
+from quarry.plans import assembly, facts, procedures, sources  # noqa: E402, F401  add their queries

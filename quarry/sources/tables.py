@@ -6,7 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TUPLES = "`#select` struct<tuples: array<array<string>>>"
-SPAN = "struct<file_name:string,byte_start:int,byte_end:int,line_start:int,line_end:int,column_start:int,column_end:int,is_primary:boolean,label:string>"
+PLACE = "file_name:string,byte_start:int,byte_end:int,line_start:int,line_end:int,column_start:int,column_end:int,is_primary:boolean,label:string"
+#: How many expansions a span's chain has room for; what lies deeper comes as its text in the last one's `expansion`.
+EXPANSIONS = 3
+
+
+def span_type(depth: int = EXPANSIONS) -> str:
+    """A span with its chain of macro expansions; the innermost keeps anything deeper as JSON text."""
+    inner = f"struct<macro_decl_name:string,span:{span_type(depth - 1)},def_site_span:struct<{PLACE}>>" if depth else "string"
+    return f"struct<{PLACE},expansion:{inner}>"
+
+
+SPAN = span_type()
 BUILD_EVENT = f"reason string, package_id string, manifest_path string, success boolean, message struct<message:string,level:string,rendered:string,code:struct<code:string,explanation:string>,spans:array<{SPAN}>,children:array<struct<message:string,level:string,spans:array<{SPAN}>>>>"
 
 HEADERS = ("h", "hpp", "hh", "hxx")
