@@ -116,7 +116,7 @@ def evicted_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.evicted(*map(shape, _versions(spark, d))).select("o_orderkey")
 
 
-@query("WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_returnflag) AS t FROM lineitem GROUP BY ALL), g AS (SELECT k, CASE k % 3 WHEN 0 THEN 'struct' WHEN 1 THEN 'impl' ELSE 'mod' END AS kind, array_to_string(list(t ORDER BY n), CASE k % 3 WHEN 0 THEN ',' || chr(10) ELSE chr(10) END) AS body FROM l GROUP BY k) SELECT k, CASE kind WHEN 'mod' THEN body ELSE kind || ' T' || k || ' {' || chr(10) || body || chr(10) || '}' END AS text FROM g")
+@query("WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_returnflag) AS t FROM lineitem GROUP BY ALL), g AS (SELECT k, CASE k % 3 WHEN 0 THEN 'struct' WHEN 1 THEN 'impl' ELSE 'mod' END AS kind, CASE k % 3 WHEN 0 THEN string_agg(t, ',' || chr(10) ORDER BY n) ELSE string_agg(t, chr(10) ORDER BY n) END AS body FROM l GROUP BY k) SELECT k, CASE kind WHEN 'mod' THEN body ELSE kind || ' T' || k || ' {' || chr(10) || body || chr(10) || '}' END AS text FROM g")
 def rendered_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Orders as containers with heads, tails and separators of their kinds."""
     lines = tables.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord")).agg(F.min("l_returnflag").alias("text"))
