@@ -22,9 +22,9 @@ from .common import SPACE, Words, pieces, stored
 
 #: A line of more different texts of a host goes.
 LIMIT = 10
-#: What has to be left of a document: words, and percent of its words.
-LEAST_WORDS = 20
-LEAST_PERCENT = 50
+#: What has to be left of a document: words, and percent of its words. A short text of its own beside a long shared passage stays.
+LEAST_WORDS = 5
+LEAST_PERCENT = 20
 #: Words of a window that counts as a repeat, and the percent of words in such windows that a text may have.
 REPEAT = 8
 MOST_REPEATS = 30

@@ -68,6 +68,6 @@ b AS (
         coalesce(n_lines, 0) AS n_lines, coalesce(n_lines_removed, 0) AS n_lines_removed, (len(words) - coalesce(gone, 0))::BIGINT AS n_words_left
     FROM d LEFT JOIN rep USING (r) LEFT JOIN x USING (r) LEFT JOIN y USING (r)
 )
-SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT base_failed AND n_words_left >= 20 AND 100 * n_words_left >= 50 * n_words AS kept FROM b"""
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT base_failed AND n_words_left >= 5 AND 100 * n_words_left >= 20 * n_words AS kept FROM b"""
 
 SQL = {"op11_merkle_manifest": MERKLE, "op12_ranked_search": RANKED, "op13_quality_rules": QUALITY}

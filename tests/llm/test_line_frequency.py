@@ -27,7 +27,7 @@ def expected(rows, limit=10):
         repeats = {k + j for k in range(len(words) - 7) if seen[tuple(words[k : k + 8])] > 1 for j in range(8)}
         gone = [len(WORD.findall(x)) for x in lines if len(texts[source, normal(x)]) > limit]
         left, base = len(words) - sum(gone), len(words) < 20 or 100 * len(repeats) > 30 * len(words)
-        kept = not base and left >= 20 and 100 * left >= 50 * len(words)
+        kept = not base and left >= 5 and 100 * left >= 20 * len(words)
         out.append((doc_id, len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeats), base, kept, len(lines), len(gone), left))
     return out
 
@@ -69,7 +69,7 @@ def test_copies_of_one_text_make_no_line_common(spark):
 
 
 def test_depleted_documents_are_rejected(spark):
-    rows = [(k, prose(1, 30) + "\n" + prose(100 + k, 12), "a") for k in range(30)] + [(99, prose(7), "a")]
+    rows = [(k, prose(1, 60) + "\n" + prose(100 + k, 9), "a") for k in range(30)] + [(99, prose(7), "a")]
     same(spark, rows)
     assert {r[0] for r in judged(spark, rows) if r[7]} == {99}
 
