@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from quarry.functions import text as T
-from quarry.operators import batching, diagnostics, graph, intervals, linkage, pieces, rates, relational
+from quarry.operators import batching, contraction, diagnostics, graph, intervals, linkage, pieces, rates, relational
 from quarry.sources.tables import line_slice, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -331,13 +331,13 @@ SCC = f"WITH RECURSIVE {EDGES}, r AS (SELECT src, dst FROM ed UNION SELECT r.src
 
 @query(f"{SCC} SELECT node, coalesce(scc, node) AS scc FROM scc")
 def scc(spark: SparkSession, d: str) -> DataFrame:
-    return graph.strongly_connected(_edges(spark, d))
+    return contraction.components(_edges(spark, d))
 
 
 @query(f"{SCC} SELECT coalesce(a.scc, a.node) AS src, coalesce(b.scc, b.node) AS dst, count(*) AS n FROM ed JOIN scc a ON a.node = ed.src JOIN scc b ON b.node = ed.dst WHERE coalesce(a.scc, a.node) <> coalesce(b.scc, b.node) GROUP BY 1, 2")
 def condensation(spark: SparkSession, d: str) -> DataFrame:
     edges = _edges(spark, d)
-    return graph.condensed(edges, graph.strongly_connected(edges))
+    return graph.condensed(edges, contraction.components(edges))
 
 
 def _tree(spark: SparkSession, d: str) -> DataFrame:
