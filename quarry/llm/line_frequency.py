@@ -25,6 +25,8 @@ LIMIT = 10
 #: What has to be left of a document: words, and percent of its words. A short text of its own beside a long shared passage stays.
 LEAST_WORDS = 5
 LEAST_PERCENT = 20
+#: Words that a text has at least.
+FEWEST_WORDS = 20
 #: Words of a window that counts as a repeat, and the percent of words in such windows that a text may have.
 REPEAT = 8
 MOST_REPEATS = 30
@@ -128,7 +130,7 @@ def judged(docs: DataFrame, host: str = "source", limit: int = LIMIT) -> DataFra
     common = stored(common_lines(rows, limit)).select("high", "low")
     lines = rows.dropDuplicates(["doc_id", "key"]).select("doc_id", "key", F.explode("lines").alias("x")).select("doc_id", "key", "x.high", "x.low", "x.words", "x.line")
     gone = lines.join(common, ["high", "low"]).groupBy("doc_id", "key").agg(F.sum("words").alias("_gone"), F.array_sort(F.collect_list("line")).alias("_removed"))
-    base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATS * F.col("n_words"))
+    base = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATS * F.col("n_words"))
     met = rows.join(gone.withColumnRenamed("doc_id", "_id").withColumnRenamed("key", "_key"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
     left = F.col("n_words") - F.coalesce("_gone", F.lit(0))
     enough = (left >= LEAST_WORDS) & (100 * left >= LEAST_PERCENT * F.col("n_words"))
