@@ -247,7 +247,7 @@ def import_roots(spark: SparkSession, d: str) -> DataFrame:
     return _messages(spark, d).select("doc_id", T.import_root(F.col("message")).alias("root"))
 
 
-@query()
+@query(f"WITH m AS ({MESSAGES}) SELECT doc_id, split_part(coalesce(nullif(regexp_extract(message, '^unresolved imports? `(\\S+)`', 1), ''), nullif(regexp_extract(message, '^failed to resolve: use of unresolved modules? or unlinked crates? `(\\S+)`', 1), ''), nullif(regexp_extract(message, '^failed to resolve: .* `(\\S+)` is not a crate or module', 1), '')), '::', 1) AS root FROM m")
 def import_roots_all(spark: SparkSession, d: str) -> DataFrame:
     """import_roots of all messages; null where a message names no import."""
     return _messages(spark, d).select("doc_id", T.import_root(F.col("message")).alias("root"))
@@ -288,7 +288,7 @@ def kind_rank_order(spark: SparkSession, d: str) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy("r", "p_partkey")).cast("long")).select("p_partkey", "listed", "place")  # of the 100 rows
 
 
-@query()
+@query("SELECT p_partkey, array_position(['ECONOMY', 'STANDARD', 'PROMO'], split_part(p_type, ' ', 1)) IS NOT NULL AS listed, row_number() OVER (ORDER BY CASE split_part(p_type, ' ', 1) WHEN 'ECONOMY' THEN 0 WHEN 'STANDARD' THEN 1 WHEN 'PROMO' THEN 2 ELSE 3 END, p_partkey) AS place FROM part")
 def kind_rank_order_all(spark: SparkSession, d: str) -> DataFrame:
     """kind_rank_order of all parts: numbered within ranges of keys, whose own places add up range by range."""
     from pyspark.sql import Window
@@ -396,7 +396,7 @@ def member_sets_equal(spark: SparkSession, d: str) -> DataFrame:
     return linkage.members_equal(m.where("id % 50 = 0"), m.where("id % 50 = 1"))
 
 
-@query()
+@query("WITH m AS (SELECT l_orderkey AS id, o_orderstatus = 'F' AS finished, list_sort(list_distinct(list(lower(l_returnflag || l_linestatus)))) AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), b AS (SELECT k, min(id) AS right_id FROM m WHERE NOT finished GROUP BY k) SELECT id AS left_id, right_id FROM m JOIN b USING (k) WHERE finished")
 def member_sets_equal_all(spark: SparkSession, d: str) -> DataFrame:
     """For every finished order, the first of all other orders that has the same set of line states."""
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat("l_returnflag", "l_linestatus").alias("state"))
@@ -465,7 +465,11 @@ def pack_next_fit(spark: SparkSession, d: str) -> DataFrame:
     return batching.next_fit(rows, "k", "ord", "n", 200)
 
 
-@query()
+@query(
+    "WITH RECURSIVE o AS (SELECT o_custkey % 50 AS k, o_orderkey AS ord, o_custkey % 90 + 1 AS n, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS i FROM orders), "
+    "p AS (SELECT k, ord, n, i, 0::BIGINT AS batch, [200 - n] AS room FROM o WHERE i = 1 UNION ALL "
+    "SELECT k, ord, n, i, pos - 1, CASE WHEN pos > len(room) THEN list_append(room, 200 - n) ELSE list_concat(room[1:pos - 1], [room[pos] - n], room[pos + 1:]) END FROM (SELECT o.k, o.ord, o.n, o.i, p.room, coalesce(list_position(list_transform(p.room, lambda r: r >= o.n), true), len(p.room) + 1)::BIGINT AS pos FROM p JOIN o ON o.k = p.k AND o.i = p.i + 1)) SELECT k, ord, n, batch FROM p"
+)
 def pack_first_fit(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("k"), F.col("o_orderkey").alias("ord"), (F.col("o_custkey") % 90 + 1).alias("n"))
     return batching.first_fit(rows, "k", "ord", "n", 200)
@@ -546,6 +550,7 @@ def stream_rate_limit(spark: SparkSession, d: str) -> DataFrame:
 # --------------------------------------------------------------------------- the evaluation pipeline
 
 UNITS = "u AS (SELECT o_custkey % 40 AS b, CAST(o_totalprice AS BIGINT) % 60 AS lo, CAST(o_totalprice AS BIGINT) % 60 + 1 + o_orderkey % 9 AS hi FROM orders WHERE o_orderkey % 20 = 0)"
+ALL_UNITS = "u AS (SELECT o_custkey % 40 AS b, CAST(o_totalprice AS BIGINT) % 60 AS lo, CAST(o_totalprice AS BIGINT) % 60 + 1 + o_orderkey % 9 AS hi FROM orders)"
 
 
 @query(f"WITH ev AS (SELECT event_id, user_id, user_id % 40 AS b, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type FROM events), {UNITS}, uu AS (SELECT DISTINCT * FROM u), hit AS (SELECT event_id, count(*) AS n FROM ev JOIN uu ON ev.b = uu.b AND lo <= k AND k <= hi GROUP BY event_id), c AS (SELECT b, CASE WHEN coalesce(n, 0) > 1 THEN 'inter' WHEN event_type = 'view' THEN 'external' ELSE 'intra' END AS kind FROM ev LEFT JOIN hit USING (event_id)), p AS (SELECT b, count_if(kind = 'external') AS external, count_if(kind = 'inter') AS inter, count_if(kind = 'intra') AS intra FROM c GROUP BY b) SELECT b AS build, external, inter, intra, round(inter / greatest(external + inter + intra, 1), 8) AS inter_rate FROM p")
@@ -554,7 +559,7 @@ def diag_rate_pivot(spark: SparkSession, d: str) -> DataFrame:
     return _rate_pivot(spark, d, table(spark, d, "orders").where("o_orderkey % 20 = 0"))
 
 
-@query()
+@query(f"WITH ev AS (SELECT event_id, user_id, user_id % 40 AS b, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type FROM events), {ALL_UNITS}, uu AS (SELECT DISTINCT * FROM u), hit AS (SELECT event_id, count(*) AS n FROM ev JOIN uu ON ev.b = uu.b AND lo <= k AND k <= hi GROUP BY event_id), c AS (SELECT b, CASE WHEN coalesce(n, 0) > 1 THEN 'inter' WHEN event_type = 'view' THEN 'external' ELSE 'intra' END AS kind FROM ev LEFT JOIN hit USING (event_id)), p AS (SELECT b, count_if(kind = 'external') AS external, count_if(kind = 'inter') AS inter, count_if(kind = 'intra') AS intra FROM c GROUP BY b) SELECT b AS build, external, inter, intra, round(inter / greatest(external + inter + intra, 1), 8) AS inter_rate FROM p")
 def diag_rate_pivot_all(spark: SparkSession, d: str) -> DataFrame:
     """Messages parsed from JSON, located in units (all orders) by a range join, classified, counted by kind, and put in relation."""
     return _rate_pivot(spark, d, table(spark, d, "orders"))
