@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.rounds import shared_dir
 
 #: Steps of a loop between two checkpoints.
 STEPS = 3
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

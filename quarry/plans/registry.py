@@ -10,6 +10,7 @@ from pyspark.sql import types as S
 
 from quarry.functions import text as T
 from quarry.operators import batching, contraction, diagnostics, graph, intervals, linkage, pieces, rates, relational
+from quarry.operators.rounds import shared_dir
 from quarry.sources.tables import line_slice, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -509,11 +510,7 @@ STREAM = S.StructType([S.StructField("event_id", S.LongType()), S.StructField("t
 
 def _streamed(spark: SparkSession, d: str, make) -> DataFrame:
     """The rows that a streaming query wrote, run to the end of what is there."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-")
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    out = shared_dir(spark)
     rows = make(spark.readStream.schema(STREAM).option("pathGlobFilter", "events.parquet").parquet(d))
     rows.writeStream.format("parquet").option("checkpointLocation", out + "-log").option("path", out).trigger(availableNow=True).outputMode("append").start().awaitTermination()
     return spark.read.parquet(out)
@@ -567,7 +564,6 @@ def diag_rate_pivot_all(spark: SparkSession, d: str) -> DataFrame:
 
 def _rate_pivot(spark: SparkSession, d: str, orders: DataFrame) -> DataFrame:
     ev = table(spark, d, "events").select("event_id", (F.col("user_id") % 40).alias("file"), F.get_json_object("props", "$.k").try_cast("long").alias("ps"), "event_type").withColumn("pe", F.col("ps"))
-    lo = F.floor(F.round("o_totalprice", 0)).cast("long") % 60
     units = orders.select((F.col("o_custkey") % 40).alias("file"), (F.bround("o_totalprice", 0).cast("long") % 60).alias("ss"), (F.bround("o_totalprice", 0).cast("long") % 60 + 1 + F.col("o_orderkey") % 9).alias("se")).distinct()
     hits = intervals.containment_join(ev.where("ps is not null"), units, width=16).select("event_id", "ss", "se").distinct().groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
     kind = F.when(F.coalesce("n", F.lit(0)) > 1, "inter").when(F.col("event_type") == "view", "external").otherwise("intra")
