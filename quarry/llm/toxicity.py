@@ -9,6 +9,7 @@ text's length go into a logistic curve, fitted on a histogram of the labelled ro
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -117,15 +118,28 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % 3 == 1, F.lit(False))
 
 
+def _lowest(rows: DataFrame, most: int) -> DataFrame:
+    """The rows of the `most` distinct doc_ids of lowest hash, and of few more.
+
+    The hash's bound follows the number of ids, so that no task sorts more than it returns; among hashes
+    spread evenly, ten standard deviations lie between the bound's rows and `most`.
+    """
+    share = (most + 10 * math.sqrt(most) + 100) / max(1, rows.select("doc_id").distinct().count())
+    return rows.where(F.xxhash64("doc_id") <= min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """(text, label) of the rows to learn from: of held_out() false, at most `most`, by the lowest hashes of their ids.
 
-    The labels kept are bounded, and so are broadcast.
+    The labels kept are bounded, and so are broadcast. Of several rows of one doc_id a single text, that of
+    the lowest hash, is learned; of repeated labels the largest counts.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
-    known = known.where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    known = _lowest(known.where(~held_out()), most)
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(known), "doc_id").select("text", "label")
+    each = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("label").alias("label"))
+    return each.select("text", "label")
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
