@@ -3,11 +3,13 @@
 Every rule of every kind is a row: which counterparts it looks at, by what key, and its rank. All rows of
 all declarations meet all counterparts in one equi-join, in which each key of the right side has a single
 row, its first counterpart. So there is one shuffle for any number of rules, and common names make no pairs.
+A piece becomes a dozen rows by rules that Spark's estimate of a table's size doesn't see, so joins here
+are sorted ones: neither side is gathered in the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -87,7 +89,7 @@ def probes(left: DataFrame) -> DataFrame:
         # an enum's names as values, each by itself, only if nothing stands for the enum
         F.when(kind == "enum", F.flatten(F.transform(F.coalesce("members", F.array().cast("array<string>")), lambda n, i: F.array(*_named(i, 1, 0, "enumerator", VALUES, n, yes))))).otherwise(F.array()),
     )
-    rows = left.select(F.col("id").alias("left_id"), F.explode(F.concat(F.array(*rules), several)).alias("p")).where("p is not null").select("left_id", "p.*")
+    rows = left.repartition("id").select(F.col("id").alias("left_id"), F.explode(F.concat(F.array(*rules), several)).alias("p")).where("p is not null").select("left_id", "p.*")
     key = F.when(F.col("how") == "tokens", T.token_key(F.col("name"))).when(F.col("how") == "lower", F.lower("name")).otherwise(F.col("name"))
     return rows.select("left_id", "part", "group", "rank", "rule", "scope", F.explode("targets").alias("kind"), "how", key.alias("key"))
 
@@ -96,7 +98,7 @@ def counterparts(right: DataFrame) -> DataFrame:
     """(scope, kind, how, key, right_id): for each key its first counterpart; right: as RIGHT, ids in the order of the text."""
     top = right.where("parent is null").select("id", "kind", "name", "members")
     named = lambda df, scope: df.where("name is not null and name <> ''").select("id", F.lit(scope).alias("scope"), "kind", F.explode(F.array(F.struct(F.lit("exact").alias("how"), F.col("name").alias("key")), F.struct(F.lit("tokens").alias("how"), T.token_key(F.col("as")).alias("key")), F.struct(F.lit("lower").alias("how"), F.lower("name").alias("key")))).alias("k"))
-    inner = right.where("parent is not null").select("id", "kind", "name", "parent").join(top.select(F.col("id").alias("parent"), F.col("kind").alias("of"), F.col("name").alias("type_name")), "parent")
+    inner = right.where("parent is not null").select("id", "kind", "name", "parent").join(top.select(F.col("id").alias("parent"), F.col("kind").alias("of"), F.col("name").alias("type_name")).hint("merge"), "parent")
     fields = inner.where("of = 'struct'").withColumn("kind", F.lit("field")).withColumn("as", F.col("name"))
     methods = inner.where("of = 'impl' and kind = 'fn'").withColumn("as", F.concat_ws("_", "type_name", "name"))
     sets = top.where("kind = 'enum'").select("id", F.lit("top").alias("scope"), "kind", F.struct(F.lit("members").alias("how"), members_key(F.col("members")).alias("key")).alias("k")).where("k.key is not null")
@@ -112,7 +114,7 @@ def match(left: DataFrame, right: DataFrame) -> DataFrame:
     function by its own name or by that of its type and it, only if nothing at the top does. Of several
     counterparts the first is taken. Rows that repeat an id are one piece's rules together.
     """
-    met = probes(left).join(counterparts(right), ["scope", "kind", "how", "key"])
+    met = probes(left).join(counterparts(right).hint("merge"), ["scope", "kind", "how", "key"])
     best = met.groupBy("left_id", "part", "group").agg(F.min(F.struct("rank", "right_id", "rule")).alias("best"))
-    group = best.groupBy("left_id").agg(F.min("group").alias("group"))
-    return best.join(group, ["left_id", "group"]).select("left_id", "part", "best.right_id", "best.rule")
+    first = F.min("group").over(Window.partitionBy("left_id"))
+    return best.withColumn("first", first).where("group = first").select("left_id", "part", "best.right_id", "best.rule")

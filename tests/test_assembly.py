@@ -195,3 +195,11 @@ def test_long_segments_are_few_rows(spark):
     first = {r["id"]: r["segment"] for r in lookup_first(p, s, "id", "segment").collect()}
     assert first == {k: min((x for y, x in want if y == k), default=None) for k, *_ in probes}
     assert lookup_first(p, s.limit(0), "id", "segment").where("segment is null").count() == len(probes)
+
+
+def test_cascade_gathers_nothing_in_the_driver(spark):
+    from quarry.operators.cascade import LEFT, RIGHT, match
+
+    left = spark.createDataFrame([(1, "macro", "a", None, None, None, None, None)], LEFT)
+    right = spark.createDataFrame([(10, "macro", "a", None, None)], RIGHT)
+    assert "Broadcast" not in match(left, right)._jdf.queryExecution().executedPlan().toString()
