@@ -40,24 +40,60 @@ def next_fit(df: DataFrame, key: str, order: str, size: str, budget: int) -> Dat
     return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(pack, f"`{key}` long, `{order}` long, `{size}` long, batch long")
 
 
+class Rooms:
+    """Batches with what is left of each, and the first with room: a tree of the largest rooms, log n steps each."""
+
+    def __init__(self) -> None:
+        self.n, self.width, self.most = 0, 1, [float("-inf")] * 2
+
+    def put(self, size: int, budget: int) -> int:
+        """The first batch with room for the size, or a new one, which now has it."""
+        most = self.most
+        if most[1] >= size:
+            k = 1
+            while k < self.width:
+                k *= 2
+                if most[k] < size:
+                    k += 1
+            room = most[k] - size
+        else:
+            if self.n == self.width:  # twice as wide: each level of the tree moves one down
+                none = [float("-inf")]
+                wide = none + [most[1]]
+                at = 1
+                while at <= self.width:
+                    wide += most[at : 2 * at] + none * at
+                    at *= 2
+                self.width *= 2
+                self.most = most = wide
+            k, room = self.n + self.width, budget - size
+            self.n += 1
+        at = k - self.width
+        most[k] = room
+        while k > 1:
+            k //= 2
+            a, b = most[2 * k], most[2 * k + 1]
+            best = a if a > b else b
+            if most[k] == best:
+                break
+            most[k] = best
+        return at
+
+
 def first_fit(df: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
-    """(key, order, size, batch): each item goes to the first batch with room. Open batches of a key are kept, at most as many as it has items above half the budget, and one for each full one."""
+    """(key, order, size, batch): each item goes to the first batch with room, found in a tree of the rooms of the key's batches. Sequential within a key; kept are two numbers for each of its batches."""
     rows = df.select(F.col(key).cast("long"), F.col(order).cast("long"), F.col(size).cast("long"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: object = object()
-        room: list[int] = []
+        rooms = Rooms()
         for rows in batches:
             out = []
             for k, n in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist()):
                 n = n or 0
                 if k != last:
-                    last, room = k, []
-                at = next((i for i, r in enumerate(room) if n <= r), len(room))
-                if at == len(room):
-                    room.append(budget)
-                room[at] -= n
-                out.append(at)
+                    last, rooms = k, Rooms()
+                out.append(rooms.put(n, budget))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.int64())], names=[*rows.schema.names, "batch"])
 
     return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(pack, f"`{key}` long, `{order}` long, `{size}` long, batch long")

@@ -127,3 +127,21 @@ def test_relational(spark):
     b = spark.createDataFrame([(2, None), (3, "y"), (4, "w")], "k int, v string")
     assert rows(relational.diff(a, b, ["k"])) == [(1, "left"), (2, "both"), (3, "changed"), (4, "right")]
     assert relational.result_hash(a).first() == relational.result_hash(a.orderBy(F.desc("k"))).first()
+
+
+def test_first_fit_is_the_plain_one_and_no_search_of_all():
+    import random
+    import time
+
+    rng = random.Random(5)
+    for most in (30, 100, 130):
+        rooms, plain = batching.Rooms(), []
+        for n in [rng.randrange(-3, most) for _ in range(1500)]:
+            at = next((i for i, r in enumerate(plain) if n <= r), len(plain))
+            if at == len(plain):
+                plain.append(100)
+            plain[at] -= n
+            assert rooms.put(n, 100) == at
+    rooms, start = batching.Rooms(), time.time()
+    assert [rooms.put(n, 100) for n in [60] * 100_000] == list(range(100_000))
+    assert time.time() - start < 20  # a search of all took hours
