@@ -40,9 +40,9 @@ def edge_cover(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_partkey AS lock, count(DISTINCT l_orderkey) AS tasks, count(DISTINCT l_orderkey) AS colours FROM lineitem GROUP BY l_partkey")
 def conflict_free_batches(spark: SparkSession, d: str) -> DataFrame:
     """For each part, the orders that lock it and their colours: as many, or two orders of a colour would share it."""
-    holds = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("task"), F.col("l_partkey").alias("lock")).distinct()
-    found = colouring.conflict_free(holds)
-    return holds.join(found, "task").groupBy("lock").agg(F.count(F.lit(1)).alias("tasks"), F.countDistinct("colour").alias("colours"))
+    holds = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("task"), F.col("l_partkey").alias("lock"))
+    found = colouring.coloured(holds).select("task", "colour", F.explode("locks").alias("lock"))
+    return found.groupBy("lock").agg(F.count(F.lit(1)).alias("tasks"), F.countDistinct("colour").alias("colours"))
 
 
 @query("WITH c AS (SELECT DISTINCT l_orderkey AS conflict, l_partkey AS piece FROM lineitem WHERE l_returnflag = 'R'), n AS (SELECT *, count(*) OVER (PARTITION BY conflict) AS n FROM c) SELECT n > 1 AS several, CASE WHEN n > 1 THEN conflict ELSE piece END AS name, count(DISTINCT conflict) AS conflicts, count(DISTINCT piece) AS pieces FROM n GROUP BY ALL")

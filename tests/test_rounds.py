@@ -259,3 +259,17 @@ def test_a_long_cycle_with_tails(spark):
     edges = [(k, (k + 1) % 200) for k in range(200)] + [(1000 + k, 1001 + k) for k in range(150)] + [(1150, 7), (20, 2000)] + [(2000 + k, 2001 + k) for k in range(100)]
     got = {r["node"]: r["scc"] for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert all(got[k] == 0 for k in range(200)) and all(got[k] == k for k in got if k >= 200)
+
+
+def test_colours_with_large_locks(spark, monkeypatch):
+    from quarry.operators import colouring
+
+    rng = random.Random(4)
+    holds = [(t, 0) for t in range(300)] + [(t, 1 + rng.randrange(30)) for t in range(400) for _ in range(3)] + [(999, None)]
+    df = spark.createDataFrame(holds, "task long, lock long")
+    plain = {r["task"]: r["colour"] for r in colouring.conflict_free(df).collect()}
+    monkeypatch.setattr(colouring, "LARGE", 50)
+    got = {r["task"]: (r["colour"], sorted(r["locks"])) for r in colouring.coloured(df).collect()}
+    check_colours(holds, plain)
+    assert {t: c for t, (c, _) in got.items()} == plain
+    assert all(got[t][1] == sorted({k for u, k in holds if u == t and k is not None}) for t in got)
