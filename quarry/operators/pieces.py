@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.rounds import stored
+
 
 def parent(path: str = "path"):
     return F.slice(F.col(path), 1, F.size(path) - 1)
@@ -15,12 +17,14 @@ def upsert(old: DataFrame, new: DataFrame, extendable: list[str] | None = None)
 
     Of a replaced container the direct children that the new one doesn't name stay, with all below them,
     if both are of the same kind and that is extendable (None: every kind is). New rows come last in
-    order, such children after them.
+    order, such children after them. Both sides are read several times, so they are written once.
     """
+    old, new = stored(old), stored(new)
     above = new.select("doc_id", "path", "kind").withColumn("_up", parent()).join(new.select("doc_id", F.col("path").alias("_up")), ["doc_id", "_up"], "left_anti").select("doc_id", F.col("path").alias("_top"), F.col("kind").alias("_new_kind"))
     span = new.groupBy("doc_id").agg((F.max("ord") + 2).alias("_span"))
     last = old.groupBy("doc_id").agg(F.max("ord").alias("_last")).join(span, "doc_id")
     hit = old.withColumn("_top", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", 1, k)))).join(above, ["doc_id", "_top"])
+    hit = stored(hit)
     was = old.select("doc_id", F.col("path").alias("_top"), F.col("kind").alias("_old_kind"))
     same = (F.col("_old_kind") == F.col("_new_kind")) & (F.lit(True) if extendable is None else F.col("_old_kind").isin(extendable))
     below = hit.where(F.size("path") > F.size("_top")).join(was, ["doc_id", "_top"]).where(same).withColumn("_child", F.slice(F.col("path"), F.lit(1), F.size("_top") + 1))
@@ -37,11 +41,12 @@ def evicted(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def without(pieces: DataFrame, gone: DataFrame, container_kinds: list[str]) -> DataFrame:
-    """Pieces without those in gone, without what lay in them, and without containers that are left empty."""
+    """Pieces without those in gone, without what lay in them, and without containers that are left empty. Pieces are read several times, so they are written once."""
+    pieces = stored(pieces)
     away = gone.select("doc_id", F.col("path").alias("_gone"))
     ups = pieces.withColumn("_gone", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", 1, k))))
     lost = ups.join(away, ["doc_id", "_gone"], "left_semi").select("doc_id", "path").distinct()
-    left = pieces.join(lost, ["doc_id", "path"], "left_anti")
+    left = stored(pieces.join(lost, ["doc_id", "path"], "left_anti"))
     parents = left.where(F.size("path") > 1).select("doc_id", parent().alias("path")).distinct()
     empty = left.where(F.col("kind").isin(container_kinds)).select("doc_id", "path").join(parents, ["doc_id", "path"], "left_anti")
     had = pieces.where(F.size("path") > 1).select("doc_id", parent().alias("path")).distinct()
@@ -64,7 +69,8 @@ def halves(pieces: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def trimmed(pieces: DataFrame, wanted: DataFrame, whole_kinds: list[str]) -> DataFrame:
-    """Wanted pieces, all above them, and all members of a container of whole_kinds of which one is wanted."""
+    """Wanted pieces, all above them, and all members of a container of whole_kinds of which one is wanted. Pieces are read several times, so they are written once."""
+    pieces = stored(pieces)
     want = wanted.select("doc_id", "path").distinct()
     above = want.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", 1, k))).alias("path")).distinct()
     whole = pieces.where(F.col("kind").isin(whole_kinds)).join(above, ["doc_id", "path"], "left_semi").select("doc_id", F.col("path").alias("_parent"))

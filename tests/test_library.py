@@ -145,3 +145,14 @@ def test_first_fit_is_the_plain_one_and_no_search_of_all():
     rooms, start = batching.Rooms(), time.time()
     assert [rooms.put(n, 100) for n in [60] * 100_000] == list(range(100_000))
     assert time.time() - start < 20  # a search of all took hours
+
+
+def test_trees_read_their_source_once(spark):
+    from quarry.operators import pieces
+
+    rows = spark.range(40).selectExpr("'d' AS doc_id", "CASE WHEN id % 4 = 0 THEN array(string(id)) ELSE array(string(id - id % 4), string(id)) END AS path", "CASE WHEN id % 4 = 0 THEN 'impl' ELSE 'fn' END AS kind", "string(id) AS text", "id AS ord")
+    gone = spark.createDataFrame([("d", ["0", "1"]), ("d", ["0", "2"]), ("d", ["0", "3"]), ("d", ["8"])], "doc_id string, path array<string>")
+    new = spark.createDataFrame([("d", ["4"], "impl", "new", 0)], "doc_id string, path array<string>, kind string, text string, ord long")
+    for got, n in ((pieces.without(rows, gone, ["impl"]), 32), (pieces.trimmed(rows, gone, ["impl"]), 8), (pieces.upsert(rows, new), 40)):
+        assert "Range (" not in got._jdf.queryExecution().executedPlan().toString()
+        assert got.count() == n
