@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.rounds import shared_dir
+from quarry.operators.rounds import shared_dir, stored
 
 #: Steps of a loop between two checkpoints.
 STEPS = 3
@@ -158,19 +158,24 @@ def segment_graph(facts: list[DataFrame], segments: DataFrame, mains: DataFrame
     """(src, dst): distinct edges between segments, from facts of any number of kinds.
 
     facts: src and dst, locations as text; segments: file, ss, se, segment (the lowest of several that
-    contain a location is the one meant); mains: file. Each distinct location is parsed and looked up once.
+    contain a location is the one meant); mains: file. Facts are parsed once and written; each distinct
+    place is looked up once. Without the written tables Spark would parse anew for each use, and push what
+    it knows of found places, regular expressions and all, down to the facts at every join.
     Facts of which an end can't be parsed, names no file or lies in no segment give no edge; edges between
     two different files that both have a main are left out, and so are loops.
     """
     from functools import reduce
 
     from quarry.functions import text as T
-    from quarry.operators.intervals import lookup_first
-
-    every = reduce(lambda a, b: a.union(b), [f.select("src", "dst") for f in facts]).where("src is not null and dst is not null").distinct()
-    ends = every.select(F.explode(F.array("src", "dst")).alias("place")).distinct().withColumn("at", T.location(F.col("place")))
-    ends = ends.where("at is not null").select("place", "at.file", F.col("at.start_line").alias("ps"), F.col("at.end_line").alias("pe")).where("ps is not null and pe is not null")
-    found = lookup_first(ends, segments.select("file", "ss", "se", "segment"), "place", "segment").where("segment is not null").select("place", "file", "segment")
-    a, b = (found.select(F.col("place").alias(c), F.col("file").alias(f"{c}_file"), F.col("segment").alias(f"{c}_segment")) for c in ("src", "dst"))
-    met = every.join(a, "src").join(b, "dst").select(F.col("src_segment").alias("src"), F.col("dst_segment").alias("dst"), "src_file", "dst_file")
+    from quarry.operators.intervals import least_ordinals
+
+    texts = reduce(lambda a, b: a.union(b), [f.select(F.explode(F.array(F.struct("src", "dst"))).alias("t")) for f in facts])  # each text is made once, not for each field of its place
+    every = texts.select(T.location(F.col("t.src")).alias("a"), T.location(F.col("t.dst")).alias("b"))
+    every = stored(every.select(*[F.col(f"{at}.{field}").alias(f"{end}_{c}") for at, end in (("a", "src"), ("b", "dst")) for field, c in (("file", "file"), ("start_line", "ps"), ("end_line", "pe"))]).distinct()).where("src_file is not null and dst_file is not null")  # not before it's written: the filter would parse on its own
+    ends = every.select(F.explode(F.array(*[F.struct(*[F.col(f"{end}_{c}").alias(c) for c in ("file", "ps", "pe")]) for end in ("src", "dst")])).alias("at")).select("at.*")
+    found = stored(least_ordinals(ends, stored(segments.select("file", "ss", "se", "segment")), "segment"))
+    met = every
+    for end in ("src", "dst"):
+        met = met.join(found.select(*[F.col(c).alias(f"{end}_{c}") for c in ("file", "ps", "pe")], F.col("segment").alias(end)), [f"{end}_{c}" for c in ("file", "ps", "pe")])
+    met = met.select("src", "dst", "src_file", "dst_file")
     return clean_edges(met if mains is None else between_mains(met, mains))

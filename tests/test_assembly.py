@@ -203,3 +203,32 @@ def test_cascade_gathers_nothing_in_the_driver(spark):
     left = spark.createDataFrame([(1, "macro", "a", None, None, None, None, None)], LEFT)
     right = spark.createDataFrame([(10, "macro", "a", None, None)], RIGHT)
     assert "Broadcast" not in match(left, right)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_facts_are_parsed_once_before_they_are_joined(spark):
+    from quarry.operators.graph import segment_graph
+
+    facts = spark.createDataFrame([("file://a.c:2:1:2:9", "file://b.c:7:1:7:9"), ("file://a.c:2:1:2:9", "file://b.c:90:1:90:9"), ("file://a.c:1:1:5:9", "nowhere"), ("file://b.c:7:1:7:9", "file://:0:0:0:0"), (None, "file://a.c:2:1:2:9")], "src string, dst string")
+    segments = spark.createDataFrame([("a.c", 1, 9, 12), ("a.c", 2, 3, 11), ("b.c", 1, 200, 22), ("b.c", 5, 100, 21), ("b.c", 60, 2000, 20)], "file string, ss int, se int, segment long")
+    found = segment_graph([facts], segments)
+    assert sorted(map(tuple, found.collect())) == [(11, 20), (11, 21)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp" not in plan and "rlike" not in plan and "file://" not in plan
+
+
+def test_locations_are_as_their_pattern_has_them(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from quarry.functions import text as T
+
+    texts = ["file://a.c:1:2:3:4", "file://a:b:1:2:3:4", "file://:0:0:0:0", "file://a:1:2:3", "x file://a:1:2:3:4", "file://a\nfile://b:5:6:7:8", "file://a:1:2:3:4\n:5", "file://a::::", "file://file://a:9:9:x:9", "", "file://é:7::8:", "x\n1\n2", "file://a :1:2:3:4"]
+    number = lambda x: int(x) if re.fullmatch("-?[0-9]+", x) else None
+    want = {}
+    for t in texts:
+        m = re.search(T.LOCATION.replace(".*", "[^\n\r\u0085  ]*"), t)
+        want[t] = (m[1], number(m[2]), number(m[3])) if m and m[1] else None
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.location(F.col("t")).alias("at")).collect()
+    assert {r["t"]: tuple(r["at"]) if r["at"] else None for r in got} == want
+    assert T.LINE_ENDS == ("\n", "\r", "\u0085", " ", " ")
