@@ -20,30 +20,37 @@ def labelled(pieces: DataFrame) -> DataFrame:
     """pieces with pre and last: a piece's number in the order of paths, and the last number in it. Rows of one path of a document count as pieces of their own, all outside each other; a null path has no row."""
     rows = places(pieces.where("path is not null and size(path) > 0"), ["doc_id"], ["path"], "pre")
     rows = stored(rows)
-    up = F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", 1, k))
-    inside = rows.groupBy("doc_id", "path").agg(F.count(F.lit(1)).alias("n")).select("doc_id", F.explode(up).alias("path"), "n").groupBy("doc_id", "path").agg(F.sum("n").alias("n"))
-    own = rows.groupBy("doc_id", "path").agg(F.count(F.lit(1)).alias("own"), F.min("pre").alias("first"))
-    size = inside.join(own, ["doc_id", "path"])
-    met = rows.join(size.withColumnRenamed("doc_id", "_doc").withColumnRenamed("path", "_path"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("path") == F.col("_path")))
-    # of equal paths the last one holds what lies below, as it comes right after it
-    last = F.when((F.col("pre") == F.col("first") + F.col("own") - 1), F.col("first") + F.col("n") - 1).otherwise(F.col("pre"))
-    return stored(met.select(*rows.columns, last.alias("last")))
+    up = F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.struct(F.slice("path", 1, k).alias("path"), F.when(k == F.size("path"), F.col("pre")).alias("own")))
+    held = rows.select("doc_id", F.explode(up).alias("up")).groupBy("doc_id", "up.path").agg(F.count(F.lit(1)).alias("n"), F.count("up.own").alias("own"), F.min("up.own").alias("first"))
+    # of equal paths the last one holds what lies below, as it comes right after it; the others end with themselves
+    held = held.where("own > 0 and n > own").select(F.col("doc_id").alias("_doc"), (F.col("first") + F.col("own") - 1).alias("_pre"), (F.col("first") + F.col("n") - 1).alias("_last"))
+    met = rows.join(held, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("pre") == F.col("_pre")), "left")
+    return stored(met.select(*rows.columns, F.coalesce("_last", "pre").alias("last")))
+
+
+def _below(labels: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, pre) at or below chosen pieces. Those that hold nothing need no range: they are their own."""
+    probes = labels.select(F.col("doc_id").alias("file"), F.col("pre").alias("ps"), F.col("pre").alias("pe"))
+    ranges = chosen.where("pre < last").select(F.col("doc_id").alias("file"), F.col("pre").alias("ss"), F.col("last").alias("se")).distinct()
+    hit = containment_join(probes, ranges).select(F.col("file").alias("doc_id"), F.col("ps").alias("pre"))
+    return hit.union(chosen.where("pre <= last").select("doc_id", "pre")).distinct()
+
+
+def _above(labels: DataFrame, chosen: DataFrame, *columns: str) -> DataFrame:
+    """(doc_id, pre, columns of labels) of the pieces above chosen ones, and of such that hold something at them."""
+    probes = chosen.select(F.col("doc_id").alias("file"), F.col("pre").alias("ps"), F.col("pre").alias("pe")).distinct()
+    ranges = labels.where("pre < last").select(F.col("doc_id").alias("file"), F.col("pre").alias("ss"), F.col("last").alias("se"), *[F.col(c).alias(f"_{c}") for c in columns])
+    return containment_join(probes, ranges).select(F.col("file").alias("doc_id"), F.col("ss").alias("pre"), *[F.col(f"_{c}").alias(c) for c in columns]).distinct()
 
 
 def below(labels: DataFrame, chosen: DataFrame) -> DataFrame:
     """Labels of the pieces at or below chosen ones; chosen: doc_id, pre, last."""
-    probes = labels.select(F.col("doc_id").alias("file"), F.col("pre").alias("ps"), F.col("pre").alias("pe"))
-    ranges = chosen.select(F.col("doc_id").alias("file"), F.col("pre").alias("ss"), F.col("last").alias("se")).distinct()
-    hit = containment_join(probes, ranges).select(F.col("file").alias("doc_id"), F.col("ps").alias("pre")).distinct()
-    return labels.join(hit, ["doc_id", "pre"], "left_semi")
+    return labels.join(_below(labels, chosen), ["doc_id", "pre"], "left_semi")
 
 
 def above(labels: DataFrame, chosen: DataFrame) -> DataFrame:
     """Labels of the pieces at or above chosen ones; chosen: doc_id, pre."""
-    probes = chosen.select(F.col("doc_id").alias("file"), F.col("pre").alias("ps"), F.col("pre").alias("pe")).distinct()
-    ranges = labels.select(F.col("doc_id").alias("file"), F.col("pre").alias("ss"), F.col("last").alias("se"))
-    hit = containment_join(probes, ranges).select(F.col("file").alias("doc_id"), F.col("ss").alias("pre")).distinct()
-    return labels.join(hit, ["doc_id", "pre"], "left_semi")
+    return labels.join(_above(labels, chosen).union(chosen.select("doc_id", "pre")), ["doc_id", "pre"], "left_semi")
 
 
 def with_paths(labels: DataFrame, paths: DataFrame) -> DataFrame:
@@ -51,20 +58,25 @@ def with_paths(labels: DataFrame, paths: DataFrame) -> DataFrame:
     return labels.join(paths.select("doc_id", "path").distinct(), ["doc_id", "path"], "left_semi")
 
 
+def _trimmed(labels: DataFrame, wanted: DataFrame, whole_kinds: list[str]) -> DataFrame:
+    """(doc_id, pre) of trimmed; wanted: labels with kind."""
+    up = stored(_above(labels, wanted, "last", "kind").union(wanted.select("doc_id", "pre", "last", "kind")))
+    whole = up.where(F.col("kind").isin(whole_kinds)).select("doc_id", "pre", "last").union(wanted.select("doc_id", "pre", "last"))
+    return up.select("doc_id", "pre").union(_below(labels, whole)).distinct()
+
+
 def trimmed(labels: DataFrame, wanted: DataFrame, whole_kinds: list[str]) -> DataFrame:
     """Wanted pieces with all in them, all above them, and all in a container of whole_kinds in which one lies."""
-    up = stored(above(labels, wanted))
-    whole = up.where(F.col("kind").isin(whole_kinds)).select("doc_id", "pre", "last").union(wanted.select("doc_id", "pre", "last"))
-    hit = up.select("doc_id", "pre").union(below(labels, whole).select("doc_id", "pre")).distinct()
-    return labels.join(hit, ["doc_id", "pre"], "left_semi")
+    own = wanted if "kind" in wanted.columns else labels.join(wanted.select("doc_id", "pre"), ["doc_id", "pre"], "left_semi")
+    return labels.join(_trimmed(labels, own, whole_kinds), ["doc_id", "pre"], "left_semi")
 
 
 def without(labels: DataFrame, gone: DataFrame, container_kinds: list[str]) -> DataFrame:
     """Labels without gone pieces and all in them, and without containers that had something in them and are left with nothing but such containers, at any depth."""
-    lost = below(labels, gone).select("doc_id", "pre")
+    lost = _below(labels, gone)
     left = stored(labels.join(lost, ["doc_id", "pre"], "left_anti"))
     held = left.where(~F.col("kind").isin(container_kinds) | (F.col("pre") == F.col("last")))  # what keeps a container: other pieces, and containers that were empty before
-    kept = above(left, held).select("doc_id", "pre")
+    kept = _above(left, held).union(held.select("doc_id", "pre"))
     return left.join(kept, ["doc_id", "pre"], "left_semi")
 
 
@@ -82,8 +94,12 @@ def context(labels: DataFrame, matched: DataFrame, used: DataFrame, split_kinds:
     used, with what is above them, cut the same way. matched, used: doc_id, path.
     """
     top = F.size("path") == 1
-    mine, theirs = (stored(with_paths(labels, p).select("doc_id", "pre", "last")) for p in (matched, used))
-    cut = trimmed(labels, mine, whole_kinds)
-    roots = labels.where(top & F.col("kind").isin(*split_kinds, *whole_kinds)).select("doc_id", "pre", "last").union(labels.where(top).join(mine.select("doc_id", "pre"), ["doc_id", "pre"], "left_semi").select("doc_id", "pre", "last"))
-    shown = below(cut, roots).select("doc_id", "pre").union(below(labels, labels.where(top & (F.col("kind") == "use"))).select("doc_id", "pre")).distinct()
-    return labels.join(shown, ["doc_id", "pre"], "left_semi"), trimmed(labels, theirs, whole_kinds)
+    named = [p.select("doc_id", "path", F.lit(n).alias("of")) for n, p in enumerate((matched, used))]
+    marks = named[0].union(named[1]).groupBy("doc_id", "path").agg(F.collect_set("of").alias("of"))  # both at once
+    marked = stored(labels.join(marks, ["doc_id", "path"]).select("doc_id", "pre", "last", "kind", top.alias("top"), "of"))
+    mine, theirs = (marked.where(F.array_contains("of", n)).drop("of") for n in (0, 1))
+    cut = _trimmed(labels, mine, whole_kinds)
+    roots = labels.where(top & F.col("kind").isin(*split_kinds, *whole_kinds)).select("doc_id", "pre", "last").union(mine.where("top").select("doc_id", "pre", "last"))
+    kept = containment_join(cut.select(F.col("doc_id").alias("file"), F.col("pre").alias("ps"), F.col("pre").alias("pe")), roots.select(F.col("doc_id").alias("file"), F.col("pre").alias("ss"), F.col("last").alias("se")).distinct()).select(F.col("file").alias("doc_id"), F.col("ps").alias("pre"))
+    shown = kept.union(_below(labels, labels.where(top & (F.col("kind") == "use")))).distinct()
+    return labels.join(shown, ["doc_id", "pre"], "left_semi"), labels.join(_trimmed(labels, theirs, whole_kinds), ["doc_id", "pre"], "left_semi")

@@ -232,3 +232,37 @@ def test_locations_are_as_their_pattern_has_them(spark):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.location(F.col("t")).alias("at")).collect()
     assert {r["t"]: tuple(r["at"]) if r["at"] else None for r in got} == want
     assert T.LINE_ENDS == ("\n", "\r", "\u0085", " ", " ")
+
+
+def test_contexts_do_not_match_pieces_that_hold_nothing_by_ranges(spark, monkeypatch):
+    """As in plain Python, on nested trees with repeated paths; ranges are of pieces that hold something alone."""
+    import random
+
+    from quarry.operators import labels
+
+    rng, rows = random.Random(11), []
+    for doc in range(6):
+        paths = [(str(k),) for k in range(4)]
+        for _ in range(14):
+            paths.append((*rng.choice(paths), rng.choice("xyz")))
+        rows += [(doc if doc else None, list(p), rng.choice(["impl", "struct", "use", "fn"])) for p in paths]
+    tree = labels.labelled(spark.createDataFrame(rows, "doc_id long, path array<string>, kind string"))
+    every = [r.asDict() for r in tree.collect()]
+    holds = lambda a, b: a["doc_id"] is not None and a["doc_id"] == b["doc_id"] and a["pre"] <= b["pre"] <= a["last"]
+    for a in every:  # the last of equal paths holds what lies below
+        same = [b["pre"] for b in every if (b["doc_id"], b["path"]) == (a["doc_id"], a["path"])]
+        under = [b["pre"] for b in every if b["doc_id"] == a["doc_id"] and len(b["path"]) > len(a["path"]) and b["path"][: len(a["path"])] == a["path"]]
+        assert a["last"] == (max([a["pre"], *under]) if a["pre"] == max(same) else a["pre"])
+    ranges, join = [], labels.containment_join
+    monkeypatch.setattr(labels, "containment_join", lambda p, s, *more: (ranges.append(s), join(p, s, *more))[1])
+    number = lambda r: (-1 if r["doc_id"] is None else r["doc_id"], r["pre"])
+    chosen = [r for r in every if r["pre"] % 5 == 0]
+    got = labels.trimmed(tree, tree.where("pre % 5 = 0").select("doc_id", "pre", "last"), ["struct"])
+    up = [a for a in every if any(holds(a, c) for c in chosen)]
+    whole = [a for a in up if a["kind"] == "struct"] + chosen
+    want = {number(a) for a in every if a in up or any(holds(w, a) for w in whole)}
+    want = {w for w in want if w[0] >= 0}
+    assert sorted(number(r.asDict()) for r in got.collect()) == sorted(want)
+    assert sorted(number(r.asDict()) for r in labels.below(tree, tree.where("pre % 5 = 0")).collect()) == sorted(number(a) for a in every if any(holds(c, a) for c in chosen))
+    assert sorted(number(r.asDict()) for r in labels.above(tree, tree.where("pre % 5 = 0")).collect()) == sorted(number(a) for a in up)
+    assert ranges and all(r.where("ss = se").isEmpty() for r in ranges)
