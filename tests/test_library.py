@@ -156,3 +156,19 @@ def test_trees_read_their_source_once(spark):
     for got, n in ((pieces.without(rows, gone, ["impl"]), 32), (pieces.trimmed(rows, gone, ["impl"]), 8), (pieces.upsert(rows, new), 40)):
         assert "Range (" not in got._jdf.queryExecution().executedPlan().toString()
         assert got.count() == n
+
+
+def test_messages_in_several_units_as_by_their_distinct_units(spark):
+    import random
+
+    from quarry.operators.diagnostics import located, several_units
+
+    rng = random.Random(3)
+    span = lambda: (rng.choice(["src/lib.rs", "src/lib.rs", "src/other.rs"]), (at := rng.randint(0, 60)), at + rng.randint(0, 3))
+    messages = spark.createDataFrame([(k, k % 3, [span() for _ in range(rng.randint(0, 3))]) for k in range(200)], "msg long, build long, spans array<struct<file_name:string,line_start:int,line_end:int>>")
+    units = spark.createDataFrame([(k % 3, lo, lo + rng.randint(0, 9)) for k in range(40) for lo in [rng.randint(0, 60)] * 2], "build_id long, lo int, hi int")
+    want = {}
+    for r in located(messages, units, "build", "msg").collect():
+        want.setdefault((r["build"], r["msg"]), set()).add(tuple(r["unit"]))
+    got = {(r["build"], r["msg"]): r["several"] for r in several_units(messages, units, "build", "msg").collect()}
+    assert got == {k: len(v) > 1 for k, v in want.items()} and set(got.values()) == {True, False}
