@@ -223,15 +223,15 @@ def test_locations_are_as_their_pattern_has_them(spark):
 
     from quarry.functions import text as T
 
-    texts = ["file://a.c:1:2:3:4", "file://a:b:1:2:3:4", "file://:0:0:0:0", "file://a:1:2:3", "x file://a:1:2:3:4", "file://a\nfile://b:5:6:7:8", "file://a:1:2:3:4\n:5", "file://a::::", "file://file://a:9:9:x:9", "", "file://é:7::8:", "x\n1\n2", "file://a :1:2:3:4"]
+    texts = ["file://a.c:1:2:3:4", "file://a:b:1:2:3:4", "file://:0:0:0:0", "file://a:1:2:3", "x file://a:1:2:3:4", "file://a\nfile://b:5:6:7:8", "file://a:1:2:3:4\n:5", "file://a::::", "file://file://a:9:9:x:9", "", "file://é:7::8:", "x\n1\n2", "file://a\u2028:1:2:3:4"]
     number = lambda x: int(x) if re.fullmatch("-?[0-9]+", x) else None
     want = {}
     for t in texts:
-        m = re.search(T.LOCATION.replace(".*", "[^\n\r\u0085  ]*"), t)
+        m = re.search(T.LOCATION.replace(".*", "[^\n\r\u0085\u2028\u2029]*"), t)
         want[t] = (m[1], number(m[2]), number(m[3])) if m and m[1] else None
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.location(F.col("t")).alias("at")).collect()
     assert {r["t"]: tuple(r["at"]) if r["at"] else None for r in got} == want
-    assert T.LINE_ENDS == ("\n", "\r", "\u0085", " ", " ")
+    assert T.LINE_ENDS == ("\n", "\r", "\u0085", "\u2028", "\u2029")
 
 
 def test_contexts_do_not_match_pieces_that_hold_nothing_by_ranges(spark, monkeypatch):
