@@ -6,7 +6,7 @@ leave the graph: its edges in are led on to the end of its chain, and it comes b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.graph import clean_edges, condensed
@@ -51,6 +51,9 @@ def longest_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
                 break
         led.append(chain)
         several = degree.where("n > 1").select("node", "c")
+        if several.isEmpty():
+            left = several
+            break
         known = settled[-1].select(F.col("node").alias("dst"), F.col("level").alias("end"))
         via = chain.select(F.col("node").alias("dst"), F.col("to").alias("on"), F.col("c").alias("by"), F.col("w").alias("more"))
         open_ = rest.join(several.select(F.col("node").alias("src")), "src", "left_semi").join(via, "dst", "left")
@@ -75,7 +78,7 @@ def layers(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     Null ends and self loops are no edges; nodes: node, those without edges too.
     """
     scc = stored(components(edges, nodes))
-    found = longest_levels(condensed(edges, scc).select("src", "dst"), scc.select(F.col("scc").alias("node"), F.lit(0).alias("least")).distinct())
+    found = longest_levels(stored(condensed(edges, scc).select("src", "dst")), scc.select(F.col("scc").alias("node"), F.lit(0).alias("least")).distinct())
     return scc.join(found.select(F.col("node").alias("scc"), F.col("level").alias("layer")), "scc").select("node", "scc", "layer")
 
 
@@ -83,25 +86,47 @@ def levels_before_cycles(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     """(node, level) of the nodes from which no cycle can be reached: the order in which work without cycles can be done."""
     scc = stored(components(edges, nodes))
     sizes = scc.groupBy("scc").agg(F.count(F.lit(1)).alias("n")).select(F.col("scc").alias("node"), F.when(F.col("n") > 1, NEVER).otherwise(0).alias("least"))
-    found = longest_levels(condensed(edges, scc).select("src", "dst"), sizes)
+    found = longest_levels(stored(condensed(edges, scc).select("src", "dst")), sizes)
     return found.where(F.col("level") < NEVER).select("node", "level")
 
 
 # --------------------------------------------------------------------------- components
 
 
-def _key(node: str) -> Column:
-    return F.struct(F.xxhash64(node), F.col(node))
-
+def _cycles(single: DataFrame) -> DataFrame:
+    """(node, label): the nodes on cycles of single (node, to; one row for a node), with the smallest of their cycle.
 
-def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(edges left, chains), no chains if there are none: chains has node, to, end of those that leave: nodes with one edge out, but for those that come before where it leads in the order of hashes.
-
-    A cycle of such nodes has one at least that stays. The end is the first node behind that stays.
+    Pointers jump, and only nodes that are still jumped to stay: on a tree of height h that is over after a
+    logarithm of h, and what is left is shorter each time. Jumps that lead from all that's left to all of it
+    are between nodes of cycles; label, the least on the way, is the cycle's once no further way lowers it.
+    """
+    at = single.select("node", "to", F.col("node").alias("label"))
+    while True:
+        at = at.withColumn("was", F.col("label"))
+        for _ in range(JUMPS):
+            on = at.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("label").alias("more"))
+            at = at.join(on, "to").select("node", F.col("next").alias("to"), F.least("label", "more").alias("label"), "was")
+        at = stored(at)
+        hit = at.select(F.col("to").alias("node"), F.lit(True).alias("hit")).distinct()
+        met = at.join(hit, "node", "left")
+        n, hits, fell = met.agg(F.count(F.lit(1)), F.count("hit"), F.count(F.when(F.col("label") != F.col("was"), 1))).first()
+        if n == hits and not fell:
+            return at.select("node", "label")
+        at = met.where("hit").select("node", "to", "label") if n > hits else at.select("node", "to", "label")
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
+    """(edges left, chains, cycles), None for edges and chains if no node has several edges out: chains has node, to, end of the nodes with one edge out that lead to one with several, end; all others with one edge leave for good.
+
+    What leads into a cycle of nodes with one edge out, or to a node without any, is a component of its
+    own, and such a cycle is one: cycles has node, label.
     """
-    single = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("to")).where("n = 1").select(F.col("src").alias("node"), "to")
-    on = single.select(F.col("node").alias("to"), F.lit(True).alias("more"))
-    gone = single.join(on, "to", "left").where(F.col("more").isNull() | (_key("node") > _key("to"))).select("node", "to", F.col("to").alias("end"))
+    outs = stored(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("to")))
+    single, several = outs.where("n = 1").select(F.col("src").alias("node"), "to"), outs.where("n > 1").select("src")
+    cycles = _cycles(single)
+    if several.isEmpty():
+        return None, None, cycles
+    gone = single.join(cycles, "node", "left_anti").select("node", "to", F.col("to").alias("end"))
     while True:
         for _ in range(JUMPS):
             step = gone.select(F.col("node").alias("end"), F.col("end").alias("next"))
@@ -109,11 +134,10 @@ def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         gone = stored(gone)
         if gone.join(gone.select(F.col("node").alias("end")), "end", "left_semi").isEmpty():
             break
-    if gone.isEmpty():
-        return edges, None
-    ends = gone.select(F.col("node").alias("dst"), "end")
-    left = edges.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(ends, "dst", "left").select("src", F.coalesce("end", "dst").alias("dst"))
-    return stored(left.where("src <> dst").distinct()), gone
+    gone = gone.join(several.withColumnRenamed("src", "end"), "end", "left_semi").select("node", "to", "end")
+    ends = gone.select(F.col("node").alias("dst"), "end").union(several.select("src", "src"))
+    left = edges.join(several, "src", "left_semi").join(ends, "dst").select("src", F.col("end").alias("dst"))
+    return stored(left.where("src <> dst").distinct()), stored(gone), cycles
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
@@ -128,22 +152,28 @@ def _returned(labels: DataFrame, edges: DataFrame, gone: DataFrame) -> DataFrame
     label = lambda df, c: df.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
     known = label(gone, "end").select("node", "to", F.col("_end").alias("label"))
     enters = label(edges.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(known.select(F.col("node").alias("dst"), "label"), "dst"), "src").where("_src = label")
-    new = stored(enters.select(F.col("dst").alias("node"), "label").distinct())
-    found = new
-    while not new.isEmpty():  # on along the chains, which are short, as they fall in the order of hashes
-        step = known.select("node", "to")
-        after = new.join(step, "node").select(F.col("to").alias("node"), "label").distinct().join(known.select("node"), "node", "left_semi")
-        new = stored(after.join(found, ["node", "label"], "left_anti"))
-        found = found.union(new)
-    return stored(labels.union(found))
+    found = stored(enters.select(F.col("dst").alias("node"), "label").distinct())
+    had = found.count()
+    if not had:
+        return labels
+    on = gone.select("node", "to").join(gone.select(F.col("node").alias("to")), "to", "left_semi").select("node", "to")
+    while True:  # on along the chains, twice as far each time
+        for _ in range(JUMPS):
+            found = found.union(found.join(on, "node").select(F.col("to").alias("node"), "label")).distinct()
+            on = on.join(on.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to"))
+        found = stored(found)
+        has = found.count()
+        if has == had:
+            return stored(labels.union(found))
+        had, on = has, stored(on)
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, scc): scc is the smallest node of the strongly connected component.
 
-    Nodes that no cycle can hold are trimmed, chains contracted along and against the edges, until little
+    Chains are contracted along and against the edges and nodes that no cycle can hold are trimmed, until little
     goes; what is left, where nodes have several edges both ways, is coloured as in graph.strongly_connected.
-    Then chains come back, the last first.
+    Then chains come back, the last first. A graph whose nodes have one edge out at most is done by the first contraction.
     """
     from quarry.operators.graph import strongly_connected
 
@@ -151,21 +181,27 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
     every = stored((ends if nodes is None else ends.union(nodes.select("node"))).where("node is not null").distinct())
     back: list[tuple[DataFrame, DataFrame]] = []
+    labels = every.limit(0).select("node", F.col("node").alias("label"))
     had = left.count()
     while had:
-        left = _trimmed(left)
+        has = had
         for turned in (False, True):
             way = left.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if turned else left
-            rest, gone = _contracted(way)
-            if gone is None:
-                continue
+            rest, gone, cycles = _contracted(way)
+            labels = labels.union(cycles)
+            if rest is None:
+                has = 0
+                break
             back.append((way, gone))
             left = rest.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if turned else rest
-        has = left.count()
+        if has:
+            left = _trimmed(left)
+            has = left.count()
         if had - has <= LEAST_SHARE * had:
             break
         had = has
-    labels = strongly_connected(left).select("node", F.col("scc").alias("label")) if had else every.limit(0).select("node", F.col("node").alias("label"))
+    if had:
+        labels = labels.union(strongly_connected(left).select("node", "scc"))
     labels = stored(labels)
     for way, gone in reversed(back):
         labels = _returned(labels, way, gone)

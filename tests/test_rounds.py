@@ -261,6 +261,31 @@ def test_a_long_cycle_with_tails(spark):
     assert all(got[k] == 0 for k in range(200)) and all(got[k] == k for k in got if k >= 200)
 
 
+@pytest.mark.parametrize("seed, several", [(3, 0), (4, 0), (5, 6)])
+def test_components_of_nodes_with_one_edge_out_take_few_tables(spark, monkeypatch, seed, several):
+    from quarry.operators import contraction
+
+    rng, n, tables = random.Random(seed), 900, []
+    edges = sorted({(v, rng.randrange(n)) for v in range(n)} | {(rng.randrange(n), rng.randrange(n)) for _ in range(several)})
+    edges += [(2000 + k, 2001 + k) for k in range(300)] + [(2300, 5), (3000, 3001), (3001, 3000)]
+    monkeypatch.setattr(contraction, "stored", lambda df, f=contraction.stored: tables.append(1) or f(df))
+    got = {r["node"]: r["scc"] for r in contraction.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    nodes = {v for e in edges for v in e}
+    assert got == plain_scc(nodes, edges)
+    assert several or len(tables) < 12
+
+
+def test_chains_come_back_into_components(spark):
+    from quarry.operators.contraction import components
+
+    loop = [(k, k + 1) for k in range(100)] + [(100, 200), (200, 0), (200, 60), (200, 300)]  # in at 0 and 60, a node with several out
+    tails = [(400 + k, 401 + k) for k in range(50)] + [(450, 30), (300, 301), (301, 302), (302, 301), (500, 501), (500, 502), (501, 500), (502, 500)]
+    edges = [*loop, *tails]
+    for way in (edges, [(b, a) for a, b in edges]):
+        got = {r["node"]: r["scc"] for r in components(spark.createDataFrame(way, "src long, dst long")).collect()}
+        assert got == plain_scc({v for e in way for v in e}, way)
+
+
 def test_colours_with_large_locks(spark, monkeypatch):
     from quarry.operators import colouring
 
