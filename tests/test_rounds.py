@@ -95,6 +95,22 @@ def test_seeds_leave_locked_nodes_alone(spark, small):
     assert len(nodes) == len(set(nodes))
 
 
+def test_neighbours_of_taken_nodes_are_not_read_again(spark, small, monkeypatch):
+    from quarry.operators import expansion
+
+    _, _, relations, weights = small
+    near = []
+    monkeypatch.setattr(expansion, "stored", lambda df, f=expansion.stored: (near.append(f(df)), near[-1])[1])
+    seeds = expansion.independent(relations, None, order)
+    batches = expansion.expand(relations, relations, weights, seeds, 120).collect()
+    first, later = [{(r["node"], r["other"]) for r in t.collect()} for t in near if t.columns == ["node", "other", "votes", "size", "recent"]][:2]
+    gone = {r["node"] for r in batches if r["step"] == 0}
+    assert gone and later == {(a, b) for a, b in first if not {a, b} & gone}
+    open_ = [{(tuple(r["seed"]), r["node"]) for r in t.collect()} for t in near if "won" in t.columns]
+    for k, rows in enumerate(open_):  # a node that came by a round is no candidate after it
+        assert not {n for _, n in rows} & {r["node"] for r in batches if r["step"] <= k}
+
+
 def plain_cover(edges, sizes, budget, changed, most):
     live, tries, batches = set(edges), defaultdict(int), []
     k = 0
