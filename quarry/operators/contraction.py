@@ -96,23 +96,27 @@ def levels_before_cycles(edges: DataFrame, nodes: DataFrame | None = None) -> Da
 def _cycles(single: DataFrame) -> DataFrame:
     """(node, label): the nodes on cycles of single (node, to; one row for a node), with the smallest of their cycle.
 
-    Pointers jump, and only nodes that are still jumped to stay: on a tree of height h that is over after a
-    logarithm of h, and what is left is shorter each time. Jumps that lead from all that's left to all of it
-    are between nodes of cycles; label, the least on the way, is the cycle's once no further way lowers it.
+    Nodes that nothing leads to leave first. Then pointers jump, and only nodes that are still jumped to
+    stay: on a tree of height h that is over after a logarithm of h, and what is left, written anew, is
+    shorter each time. Jumps that lead from all that's left to all of it are between nodes of cycles; label,
+    the least on the way, is the cycle's once no further way lowers it.
     """
-    at = single.select("node", "to", F.col("node").alias("label"))
+    at = stored(_hit(single.select("node", "to", F.col("node").alias("label"))))
     while True:
         at = at.withColumn("was", F.col("label"))
         for _ in range(JUMPS):
             on = at.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("label").alias("more"))
             at = at.join(on, "to").select("node", F.col("next").alias("to"), F.least("label", "more").alias("label"), "was")
         at = stored(at)
-        hit = at.select(F.col("to").alias("node"), F.lit(True).alias("hit")).distinct()
-        met = at.join(hit, "node", "left")
-        n, hits, fell = met.agg(F.count(F.lit(1)), F.count("hit"), F.count(F.when(F.col("label") != F.col("was"), 1))).first()
-        if n == hits and not fell:
+        met = stored(_hit(at))
+        if met.count() == at.count() and at.where("label <> was").isEmpty():
             return at.select("node", "label")
-        at = met.where("hit").select("node", "to", "label") if n > hits else at.select("node", "to", "label")
+        at = met.select("node", "to", "label")
+
+
+def _hit(at: DataFrame) -> DataFrame:
+    """The rows of at whose node another row leads to."""
+    return at.join(at.select(F.col("to").alias("node")).distinct(), "node", "left_semi").select(*at.columns)
 
 
 def _contracted(edges: DataFrame) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
@@ -179,7 +183,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
     left = stored(clean_edges(edges))
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
-    every = stored((ends if nodes is None else ends.union(nodes.select("node"))).where("node is not null").distinct())
+    every = (ends if nodes is None else ends.union(nodes.select("node"))).where("node is not null").distinct()
     back: list[tuple[DataFrame, DataFrame]] = []
     labels = every.limit(0).select("node", F.col("node").alias("label"))
     had = left.count()
@@ -202,9 +206,10 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         had = has
     if had:
         labels = labels.union(strongly_connected(left).select("node", "scc"))
-    labels = stored(labels)
+    labels = stored(labels) if back else labels
     for way, gone in reversed(back):
         labels = _returned(labels, way, gone)
-    least = every.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    first = least.groupBy("label").agg(F.min("node").alias("scc"))
-    return least.join(first, "label").select("node", "scc")
+    # nodes without a label are components of their own, or the one that others took as their label
+    first = labels.groupBy("label").agg(F.min("node").alias("first")).select("label", F.least("label", "first").alias("first"))
+    found = every.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    return found.join(first, "label", "left").select("node", F.coalesce("first", "label").alias("scc"))

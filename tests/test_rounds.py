@@ -302,6 +302,25 @@ def test_chains_come_back_into_components(spark):
         assert got == plain_scc({v for e in way for v in e}, way)
 
 
+def test_nodes_that_nothing_leads_to_are_not_jumped_from(spark, monkeypatch):
+    from quarry.operators import contraction
+
+    rows = []
+    monkeypatch.setattr(contraction, "stored", lambda df, f=contraction.stored: rows.append((t := f(df)).count()) or t)
+    single = spark.createDataFrame([(k, 0) for k in range(10, 1000)] + [(0, 2), (2, 1), (1, 0)], "node long, to long")
+    assert {tuple(r) for r in contraction._cycles(single).collect()} == {(0, 0), (1, 0), (2, 0)}
+    assert sum(rows) < 100
+
+
+def test_a_label_without_a_row_is_of_its_component(spark):
+    from quarry.operators.contraction import components
+
+    for hub, chain in ((5, (1, 2)), (1, (5, 7))):  # the hub has several edges out and is trimmed before its chain comes back
+        edges = [(hub, chain[0]), chain, (chain[1], hub), (hub, 9), (hub, 10), (20, hub)]
+        got = {r["node"]: r["scc"] for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+        assert got == plain_scc({v for e in edges for v in e}, edges)
+
+
 def test_colours_with_large_locks(spark, monkeypatch):
     from quarry.operators import colouring
 
